@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from eventloom.llm import exact_dedup
+from eventloom.llm import exact_dedup, packing
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
+    "op7_best_fit_packing": packing.query,
 }
 
 ORACLES = {
