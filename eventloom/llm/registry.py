@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from eventloom.llm import exact_dedup, packing
+from eventloom.llm import exact_dedup, language, packing
 
 QUERIES = {
+    "op2_language_id": language.query,
     "op5_exact_dedup": exact_dedup.query,
     "op7_best_fit_packing": packing.query,
 }
