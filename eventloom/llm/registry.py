@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from eventloom.llm import exact_dedup, language, near_dedup, packing
+from eventloom.llm import exact_dedup, language, near_dedup, packing, pii
 
 QUERIES = {
     "op2_language_id": language.query,
     "op4_minhash_near_dedup": near_dedup.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_pii": pii.query,
     "op7_best_fit_packing": packing.query,
 }
 
