@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from eventloom.llm import exact_dedup, language, near_dedup, packing, pii
+from eventloom.llm import exact_dedup, language, near_dedup, packing, pii, secrets
 
 QUERIES = {
+    "op1_secret_scan": secrets.query,
     "op2_language_id": language.query,
     "op4_minhash_near_dedup": near_dedup.query,
     "op5_exact_dedup": exact_dedup.query,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_secret_scan": secrets.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
 }
