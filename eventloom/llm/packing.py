@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import materialize, read
-from eventloom.llm.wordmemo import ChunkMemo, load_tokenizer
+from eventloom.llm.wordmemo import memo_of
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
@@ -36,8 +36,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
     """A row for each piece; part is the task that made it and nth its number among that task's pieces of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load_tokenizer(tokenizer)
-        memo = ChunkMemo(lambda xs: [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(xs, add_special_tokens=False)])
+        memo = memo_of(tokenizer)
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             cols = [[] for _ in range(7)]

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 
 from eventloom.llm.packing import Plan, pack
-from eventloom.llm.wordmemo import ChunkMemo, load_tokenizer
+from eventloom.llm.wordmemo import Memo, load_tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -17,10 +17,11 @@ def _bytes(tok):
 
 def test_memo_equals_whole_texts():
     tok, rng = load_tokenizer(PATH), random.Random(4)
-    parts = ["don't", "Été", "é", "ΣΑΣ", "x" * 90, "<|endoftext|>", "a<|startoftext|>b", "日本", "12,5", "ŉ", "́a", "İ"]
+    parts = ["don't", "Été", "é", "ΣΑΣ", "x" * 90, "<|endoftext|>", "a<|startoftext|>b", "日本", "12,5", "ŉ", "́a", "İ", "We'LL", "it's!", "''s", "<b>", "<|", "A.B", "ÀÉ×ß", "_x_", "a" * 70, "ÿ9", "\x00", "!'t"]
     gaps = [" ", "\n", "\t", " ", "\x1c", " ", "  ", "\x85", "​", "\r\n"]
     texts = ["".join(rng.choice(parts) + rng.choice(gaps) for _ in range(rng.randrange(30))) for _ in range(300)] + [None, "", " "]
-    memo = ChunkMemo(_bytes(tok), most=5)
+    texts += ["".join(rng.choice([p for p in parts if p.isascii()]) + rng.choice(" \n\t") for _ in range(rng.randrange(30))) for _ in range(300)]
+    memo = Memo(tok, most=5)
     for at in range(0, len(texts), 40):
         assert memo.ids(texts[at : at + 40]) == _bytes(tok)([t or "" for t in texts[at : at + 40]])
 
