@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.llm import exact_dedup, language, near_dedup, packing, pii, secrets
+from eventloom.llm import exact_dedup, language, near_dedup, packing, pii, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
     "op6_pii": pii.query,
     "op7_best_fit_packing": packing.query,
+    "op9_quality_rules": quality.query,
 }
 
 ORACLES = {
