@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.llm import exact_dedup, language, near_dedup, packing, pii, quality, secrets
+from eventloom.llm import exact_dedup, language, near_dedup, packing, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -12,9 +12,11 @@ QUERIES = {
     "op6_pii": pii.query,
     "op7_best_fit_packing": packing.query,
     "op9_quality_rules": quality.query,
+    "op10_warc": warc.query,
 }
 
 ORACLES = {
     "op1_secret_scan": secrets.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op10_warc": warc.SQL,
 }
