@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from eventloom.llm import exact_dedup, language, near_dedup, packing, pii, quality, secrets, warc
+from eventloom.llm import exact_dedup, language, near_dedup, packing, pii, quality, secrets, sentencepiece_codec, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op2_language_id": language.query,
+    "op3_sentencepiece": sentencepiece_codec.query,
     "op4_minhash_near_dedup": near_dedup.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_pii": pii.query,
