@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.llm import exact_dedup, language, near_dedup, packing, pii, quality, secrets, sentencepiece_codec, warc
+from eventloom.llm import exact_dedup, language, near_dedup, packing, pii, quality, secrets, sentencepiece_codec, token_counts, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
     "op6_pii": pii.query,
     "op7_best_fit_packing": packing.query,
+    "op8_token_counts": token_counts.query,
     "op9_quality_rules": quality.query,
     "op10_warc": warc.query,
 }
