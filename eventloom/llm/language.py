@@ -6,7 +6,7 @@ so that a few odd words don't cut a span. The prediction is the language with th
 language's share of the labelled letters.
 
 Training uses about ``per_language`` labelled rows of each language at most (all rows of rarer ones), chosen by a hash;
-counts are made by Spark, and the ``most_grams`` commonest n-grams form the model, so that it is bounded.
+counts are made by Spark in a fixed number of hash buckets, so that the model is bounded.
 
 Nulls and edge cases: null text or no letters gives ``und`` with score 0; with nothing to learn from every text is ``und``;
 rows with a null doc_id or lang are labelled but not learned from; ties go to the alphabetically first language; texts of
@@ -16,6 +16,7 @@ any length are labelled whole. Extra columns are left alone.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -49,20 +50,43 @@ SCRIPTS = [
 ]
 
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
 _CHUNK = re.compile(r"\S+")
-
-
-def script_of(word: str) -> str:
-    """The script of most letters; ``other`` outside all ranges."""
-    seen = Counter(next((name for name, lo, hi in SCRIPTS if lo <= ord(ch) <= hi), "other") for ch in word)
-    return min(seen, key=lambda s: (-seen[s], s))
-
-
-def grams(word: str) -> list[str]:
-    """One to four characters of the word between its marks."""
-    marked = f"^{word}$"
-    return [*word, *(marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1))]
+_NAMES = [*dict.fromkeys(name for name, _, _ in SCRIPTS), "other"]
+#: N-grams are counted by hash, in this many buckets.
+BUCKETS = 1 << 17
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Features:
+    """Letters, script and n-gram buckets of many chunks at once.
+
+    A word is a run of letters in lower case between two marks; its n-grams have one to four characters.
+    """
+
+    def __init__(self, chunks: list[str]):
+        self.n = len(chunks)
+        codes = np.frombuffer(("\n" + "\n".join(c.lower() for c in chunks) + "\n").encode("utf-32-le"), dtype=np.uint32)
+        each, back = np.unique(codes, return_inverse=True)
+        letter = np.array([chr(c).isalpha() for c in each], dtype=bool)[back]
+        script = np.array([next((_NAMES.index(name) for name, lo, hi in SCRIPTS if lo <= c <= hi), len(_NAMES) - 1) for c in each])[back]
+        chunk = np.cumsum(codes == 10) - 1
+        self.letters = np.bincount(chunk[letter], minlength=self.n)[: self.n]
+        by = np.bincount(chunk[letter] * len(_NAMES) + script[letter], minlength=self.n * len(_NAMES))[: self.n * len(_NAMES)]
+        self.script = by.reshape(self.n, len(_NAMES)).argmax(axis=1)
+        c = np.where(letter, codes, 0).astype(np.uint64)
+        self.parts = []  # for each length: the chunk and the bucket of each n-gram
+        for size in (1, 2, 3, 4):
+            m = len(c) - size + 1
+            inner = letter[:m].copy() if size == 1 else (letter[:m] | letter[1 : m + 1] if size == 2 else letter[1 : m + 1].copy())
+            if size == 4:
+                inner &= letter[2 : m + 2]
+            at = np.nonzero(inner)[0]
+            h = np.full(len(at), size, dtype=np.uint64)
+            for j in range(size):
+                h = (h ^ c[at + j]) * _MIX
+                h ^= h >> np.uint64(31)
+            owner = at if size == 1 else np.where(letter[at], at, at + 1)
+            self.parts.append((chunk[owner], (h * _MIX >> np.uint64(47)).astype(np.int64)))
 
 
 def held_out(doc_id) -> F.Column:
@@ -70,39 +94,36 @@ def held_out(doc_id) -> F.Column:
 
 
 class Model:
-    """Log-probabilities of n-grams and the languages that each script allows."""
+    """Log-probabilities of n-gram buckets and the languages that each script allows."""
 
-    def __init__(self, rows: list[tuple[str, str, str, int]]):
-        """rows: (kind, lang, key, n), kind gram or script."""
-        self.langs = sorted({lang for _, lang, _, _ in rows})
+    def __init__(self, rows: list[tuple[str, int, int]]):
+        """rows: (language, bucket or minus one minus the script's number, count)."""
+        self.name = uuid.uuid4().hex
+        self.langs = sorted({lang for lang, _, _ in rows})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        k = len(self.langs)
-        counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
-        scripts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
-        for kind, lang, key, n in rows:
-            (counts if kind == "gram" else scripts)[key][at[lang]] += n
-        total = sum(counts.values(), np.zeros(k)) + 0.1 * len(counts)
-        # the four orders of n-grams overlap, so that each counts as a part only
-        self.grams = {g: np.log((v + 0.1) / total).astype(np.float32) / 3 for g, v in counts.items()}
-        letters = sum(scripts.values(), np.zeros(k))
-        self.allowed = {s: v > 0.001 * letters for s, v in scripts.items()}
-
-    def score(self, chunk: str) -> tuple[int, np.ndarray] | None:
-        """Letters and log-score for each language of the words in a chunk without white space; None: no letters."""
-        words = _LETTERS.findall(chunk.lower())
-        if not words or not self.langs:
-            return None
-        out = np.zeros(len(self.langs), dtype=np.float32)
-        for w in words:
-            ok = self.allowed.get(script_of(w))
-            if ok is None or not ok.any():
-                continue
-            for g in grams(w):
-                v = self.grams.get(g)
-                if v is not None:
-                    out += v
-            out[~ok] -= 60
-        return sum(map(len, words)), out - out.max()
+        counts, scripts = np.zeros((BUCKETS, len(at))), np.zeros((len(_NAMES), len(at)))
+        for lang, key, n in rows:
+            if key < 0:
+                scripts[-1 - key, at[lang]] += n
+            else:
+                counts[key, at[lang]] += n
+        known = counts.sum(axis=1) > 0
+        self.table = np.zeros((len(at), BUCKETS), dtype=np.float32)
+        # the four lengths of n-grams overlap, so that each counts as a part only
+        self.table[:, known] = (np.log((counts[known] + 0.1) / (counts.sum(axis=0) + 0.1 * known.sum())) / 3).T
+        allowed = scripts > 0.001 * scripts.sum(axis=0)
+        # a script that no language was seen with narrows nothing
+        self.barred = np.where(allowed | ~allowed.any(axis=1, keepdims=True), 0, -60).astype(np.float32)
+
+    def score(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Letters, and log-scores for each language, of chunks without white space."""
+        f = Features(chunks)
+        out = np.zeros((f.n, len(self.langs)), dtype=np.float32)
+        for owner, bucket in f.parts:
+            for k in range(len(self.langs)):
+                out[:, k] += np.bincount(owner, weights=self.table[k, bucket], minlength=f.n)[: f.n]
+        out += self.barred[f.script]
+        return f.letters, out - out.max(axis=1, keepdims=True, initial=-np.inf) if self.langs else out
 
 
 def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
@@ -154,22 +175,27 @@ class Labeller:
 
     def _clear(self) -> None:
         self.memo: dict[str, int] = {}
-        self.letters, self.scores = [0], [np.zeros(len(self.model.langs), dtype=np.float32)]
+        self.letters, self.scores = np.zeros(1, dtype=np.int64), np.zeros((1, len(self.model.langs)), dtype=np.float32)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Row 0 stands for chunks without letters."""
+        for at in range(0, len(chunks), 20_000):
+            part = chunks[at : at + 20_000]
+            letters, scores = self.model.score(part)
+            some = letters > 0
+            rows = np.where(some, len(self.letters) - 1 + np.cumsum(some), 0)
+            self.memo.update(zip(part, rows.tolist(), strict=True))
+            self.letters, self.scores = np.concatenate([self.letters, letters[some]]), np.concatenate([self.scores, scores[some]])
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """For each text: language, score, spans (start, end, language) in code points."""
+        if not self.model.langs:
+            return [(UNKNOWN, 0.0, []) for _ in texts]
         if len(self.memo) > self.most:
             self._clear()
         memo, chunked = self.memo, [(t or "").split() for t in texts]
-        for c in {c for cs in chunked for c in cs if c not in memo}:
-            found = self.model.score(c)
-            if found is None:
-                memo[c] = 0
-            else:
-                memo[c] = len(self.scores)
-                self.letters.append(found[0])
-                self.scores.append(found[1])
-        letters, table = np.array(self.letters), np.array(self.scores)
+        self._learn(list(set().union(*chunked).difference(memo)))
+        letters, table = self.letters, self.scores
         rows = [np.fromiter(map(memo.__getitem__, cs), dtype=np.int64, count=len(cs)) for cs in chunked]
         words = [r[r > 0] for r in rows]
         out = []
@@ -201,7 +227,18 @@ class Labeller:
         return [(edges[int(worded[a])][0], edges[int(worded[b - 1])][1], self.model.langs[path[a]]) for a, b in zip(cuts, cuts[1:])]
 
 
-def train(docs: DataFrame, per_language: int = 2000, most_grams: int = 60_000) -> Model:
+_LABELLERS: dict[tuple[str, float], Labeller] = {}
+
+
+def labeller_of(model: Model, penalty: float) -> Labeller:
+    """This worker's labeller for a model; the last one only is kept."""
+    if (model.name, penalty) not in _LABELLERS:
+        _LABELLERS.clear()
+        _LABELLERS[model.name, penalty] = Labeller(model, penalty)
+    return _LABELLERS[model.name, penalty]
+
+
+def train(docs: DataFrame, per_language: int = 2000) -> Model:
     rows = docs.select("doc_id", "text", "lang").filter(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not counts:
@@ -210,32 +247,31 @@ def train(docs: DataFrame, per_language: int = 2000, most_grams: int = 60_000) -
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = defaultdict(Counter)
+        chunks: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                words[lang].update(_LETTERS.findall(text.lower()))
-        out: Counter = Counter()
-        for lang, found in words.items():
-            for w, n in found.items():
-                out["script", lang, script_of(w)] += n * len(w)
-                for g in grams(w):
-                    out["gram", lang, g] += n
-        keys = list(out)
-        for at in range(0, len(keys), 50_000):
-            part = keys[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in part], pa.string()) for i in range(3)), pa.array([out[k] for k in part], pa.int64())], names=["kind", "lang", "key", "n"])
-
-    tallied = sample.select("text", "lang").mapInArrow(tally, "kind string, lang string, key string, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n"))
-    scripts = tallied.filter("kind = 'script'").collect()
-    common = tallied.filter("kind = 'gram' AND n > 1").orderBy(F.desc("n"), "lang", "key").limit(most_grams).collect()
-    return Model([tuple(r) for r in [*scripts, *common]])
+                chunks[lang].update(text.split())
+        for lang, found in chunks.items():
+            names, counts, scripts = list(found), np.zeros(BUCKETS), np.zeros(len(_NAMES))
+            for at in range(0, len(names), 20_000):
+                part = names[at : at + 20_000]
+                times, f = np.array([found[c] for c in part], dtype=float), Features(part)
+                for owner, bucket in f.parts:
+                    counts += np.bincount(bucket, weights=times[owner], minlength=BUCKETS)
+                scripts += np.bincount(f.script, weights=times * f.letters, minlength=len(_NAMES))
+            keys, numbers = np.nonzero(counts)[0], np.nonzero(scripts)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(keys) + len(numbers)), pa.string()), pa.array(np.concatenate([keys, -1 - numbers]), pa.int64()), pa.array(np.concatenate([counts[keys], scripts[numbers]]).astype(np.int64))], names=["lang", "key", "n"])
+
+    # at most BUCKETS rows a language come to the driver
+    tallied = sample.select("text", "lang").mapInArrow(tally, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).filter("n > 1 OR key < 0")
+    return Model([tuple(r) for r in tallied.collect()])
 
 
 def label(docs: DataFrame, model: Model, penalty: float = 8.0) -> DataFrame:
     """doc_id, held_out, lang_pred, score and spans of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model, penalty)
+        labeller = labeller_of(model, penalty)
         for batch in batches:
             found = []
             for at in range(0, batch.num_rows, 1024):
@@ -252,7 +288,7 @@ def keep_known(docs: DataFrame, least: float = 0.5, penalty: float = 8.0) -> Dat
     model = train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model, penalty)
+        labeller = labeller_of(model, penalty)
         for batch in batches:
             found = []
             for at in range(0, batch.num_rows, 1024):
