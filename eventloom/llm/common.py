@@ -1,13 +1,12 @@
-"""What the corpus operators share: the shared folder, cut lineage, row numbers and a bounded Bloom filter."""
+"""What the corpus operators share: bounded batches, free column names and a bounded Bloom filter."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.shared import materialize
+
 #: The six characters that the contracts call white space.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -16,20 +15,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is named."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='eventloom-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again. A lost executor can't take these rows away."""
-    path = f"{shared_dir(df.sparkSession)}/eventloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get this many rows at a time at most, as rows hold whole texts; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -121,29 +111,3 @@ def keep_present(df: DataFrame, key: str, wanted: DataFrame, rows: int) -> DataF
     (hit,) = fresh(df, "hit")
     probed = Bloom(rows).of_keys(wanted, key).probe(df, F.col(key), hit)
     return probed.filter(F.col(hit)).drop(hit).join(wanted, key)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): a row (node, label) for each node, label the smallest node reachable.
-
-    Each round hooks every node to its smallest neighbour, jumps once and contracts the edges to the labels, so that at
-    least half of the nodes go; edges are combined before each shuffle and nothing is collected.
-    """
-    edges = materialize(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b"), "edges")
-    whole = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "hook")
-        up = hook.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        jump = materialize(hook.join(up, "label").select("node", F.col("above").alias("label")), "jump")
-        if whole is None:
-            whole = jump
-        else:
-            further = jump.select(F.col("node").alias("label"), F.col("label").alias("above"))
-            whole = materialize(whole.join(further, "label", "left").select("node", F.coalesce("above", "label").alias("label")), "labels")
-        for end in ("a", "b"):
-            edges = edges.join(jump.select(F.col("node").alias(end), F.col("label").alias("new")), end).drop(end).withColumnRenamed("new", end)
-        edges = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    if whole is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return whole

@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Bloom, fresh, materialize, read, strip_blanks
+from eventloom.llm.common import Bloom, fresh, read, strip_blanks
+from eventloom.shared import materialize
 
 
 def _digests(docs: DataFrame) -> DataFrame:

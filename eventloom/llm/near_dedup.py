@@ -30,7 +30,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Bloom, components, fresh, keep_absent, keep_present, materialize, read
+from eventloom.llm.common import Bloom, fresh, keep_absent, keep_present, read, small_batches
+from eventloom.operators.graph import components
+from eventloom.shared import materialize
 
 WIDTH, K, LEAST, SHORT = 5, 64, 26, 32
 
@@ -162,6 +164,7 @@ def _residual(lists: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame
 def group(docs: DataFrame) -> DataFrame:
     """A row for each document: row (its number in this reading), doc_id, n, group (one number a component),
     component_id."""
+    small_batches(docs.sparkSession)
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
     base = materialize(numbered.mapInArrow(_sketches, "doc_id long, row long, n long, sig binary, sketch array<long>"), "sketches")
     rows = base.count()

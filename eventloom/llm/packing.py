@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import materialize, read
+from eventloom.llm.common import read, small_batches
+from eventloom.shared import materialize
 from eventloom.llm.wordmemo import memo_of
 
 CAPACITY = 2048
@@ -52,6 +53,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
                         seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
 
 

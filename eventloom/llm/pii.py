@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Bloom, fresh, materialize, read
+from eventloom.llm.common import Bloom, fresh, read, small_batches
+from eventloom.shared import materialize
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -123,6 +124,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """row, doc_id, base spans and mentions of each document, written to the shared folder."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return materialize(rows.mapInArrow(_scan, f"row long, doc_id long, base {_SPAN_DDL}, mentions array<struct<start: long, end: long, pattern: string, instance: long, seed: boolean>>"), "scan")
 

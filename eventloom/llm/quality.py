@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import BLANKS, materialize, read
+from eventloom.llm.common import BLANKS, read, small_batches
+from eventloom.shared import materialize
 
 MOST_ROWS = 20_000
 SYMBOLS = "#*$%&|<>"
@@ -84,6 +85,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             cols = zip(*rows, strict=True) if rows else [()] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *COUNTS])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 

@@ -27,7 +27,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import read
+from eventloom.llm.common import read, small_batches
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -217,6 +217,7 @@ def encode(docs: DataFrame, model: str, threads: int = 2) -> DataFrame:
                 parity = [a and d == w for a, d, w in zip(agree, decoded, whole, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([len(a) for a in arrays], pa.int64()), pa.array([zlib.crc32(d) for d in data], pa.int64()), pa.array(decoded, pa.string()), pa.array(parity, pa.bool_())], names=["doc_id", "ids", "n_tokens", "ids_crc32", "decoded", "parity"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, decoded string, parity boolean")
 
 

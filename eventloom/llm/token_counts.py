@@ -27,7 +27,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import read
+from eventloom.llm.common import read, small_batches
 from eventloom.llm.wordmemo import load_tokenizer
 
 _NOT_PLAIN = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
@@ -146,6 +146,7 @@ def attribute(docs: DataFrame, tokenizer: str, sections: str | None = None, rule
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), each)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), lists, pa.array([x[2][-1] for x in found], pa.float64())], names=["doc_id", "n_tokens", "n_crossing", "sections", "outside"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(sections).alias("sections")] if sections else []))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_crossing long, sections array<struct<start: long, end: long, tokens: double>>, outside double")
 

@@ -32,7 +32,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Bloom, materialize, read, shared_dir
+from eventloom.llm.common import Bloom, read, small_batches
+from eventloom.shared import materialize, shared_dir
 
 LEAST, ARCHIVE, READ = 100, 32 << 20, 4 << 20
 
@@ -188,6 +189,7 @@ def _roles(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE) -> DataFrame:
     """Writes the pages (page_id, url, html) and returns the manifest: path, bytes, records. pages must read the same
     twice (a table does). Only rows that may be revisits are shuffled."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     revisits = _roles(rows)
     probed = Bloom(revisits.count()).of_keys(revisits, "row").probe(rows, F.col("row"), "hit")
