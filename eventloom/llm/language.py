@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import read
+from eventloom.llm.common import read, small_batches
 
 # First and last code point of script ranges.
 SCRIPTS = [
@@ -133,7 +133,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     at = 0
     while at < len(order) and len(scores[order[at]]):
         longest, k = scores[order[at]].shape
-        group = order[at : at + max(1, 16_000_000 // (longest * (k + 4)))]
+        group = order[at : at + max(1, 8_000_000 // (longest * (k + 4)))]
         at += len(group)
         group = [i for i in group if len(scores[i])]
         sizes = np.array([len(scores[i]) for i in group])
@@ -170,7 +170,7 @@ class Labeller:
 
     def __init__(self, model: Model, penalty: float):
         self.model, self.penalty = model, penalty
-        self.most = 8_000_000 // max(16, len(model.langs))
+        self.most = 2_400_000 // max(16, len(model.langs))
         self._clear()
 
     def _clear(self) -> None:
@@ -239,6 +239,7 @@ def labeller_of(model: Model, penalty: float) -> Labeller:
 
 
 def train(docs: DataFrame, per_language: int = 2000) -> Model:
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").filter(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not counts:
@@ -274,8 +275,8 @@ def label(docs: DataFrame, model: Model, penalty: float = 8.0) -> DataFrame:
         labeller = labeller_of(model, penalty)
         for batch in batches:
             found = []
-            for at in range(0, batch.num_rows, 1024):
-                found += labeller.label(batch.column("text").slice(at, 1024).to_pylist())
+            for at in range(0, batch.num_rows, 512):
+                found += labeller.label(batch.column("text").slice(at, 512).to_pylist())
             spans = pa.array([[{"start": a, "end": b, "lang": c} for a, b, c in x[2]] for x in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans], names=["doc_id", "held_out", "lang_pred", "score", "spans"])
 
@@ -291,8 +292,8 @@ def keep_known(docs: DataFrame, least: float = 0.5, penalty: float = 8.0) -> Dat
         labeller = labeller_of(model, penalty)
         for batch in batches:
             found = []
-            for at in range(0, batch.num_rows, 1024):
-                found += labeller.label(batch.column("text").slice(at, 1024).to_pylist())
+            for at in range(0, batch.num_rows, 512):
+                found += labeller.label(batch.column("text").slice(at, 512).to_pylist())
             yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= least for x in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
