@@ -14,23 +14,24 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from eventloom.functions import vocab as V
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility form."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold(texts: pd.Series) -> pd.Series:
     """Compatibility form, case-folded."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """HTML entities resolved, all of them."""
     return texts.map(lambda t: None if t is None else _html.unescape(t))
