@@ -284,7 +284,7 @@ def label(docs: DataFrame, model: Model, penalty: float = 8.0) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5, penalty: float = 8.0) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.4, penalty: float = 8.0) -> DataFrame:
     """The documents in a known language that has at least this share of their letters; columns are kept."""
     model = train(docs)
 
