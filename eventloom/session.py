@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
+def local_session(cpus: int = 8, memory: str = "12g", conf: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -16,6 +16,7 @@ def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(map=conf or {})
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

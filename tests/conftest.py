@@ -4,8 +4,8 @@ from eventloom.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, "6g")
+def spark(tmp_path_factory):
+    session = local_session(4, "6g", {"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

@@ -176,3 +176,14 @@ def test_stream(spark, tmp_path, consume):
     step()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("batch").collect()
     assert [(r.batch, r.status) for r in got] == [(0, "new"), (1, "updated")]
+
+
+def test_release(spark):
+    import os
+
+    from eventloom.shared import materialize, release, work_dir
+
+    assert materialize(spark.range(3), "x").count() == 3
+    assert os.path.isdir(work_dir(spark).removeprefix("file:"))
+    release(spark)
+    assert not os.path.exists(work_dir(spark).removeprefix("file:"))
