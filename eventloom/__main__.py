@@ -14,6 +14,7 @@ from eventloom.operators import digest as G
 from eventloom.operators.merge import mark_searched
 from eventloom.operators.planner import post_queries, search_queries
 from eventloom.plans.ingest import Config, run
+from eventloom.shared import ship
 from eventloom.sources import readers, watchlist, writers
 
 
@@ -47,6 +48,7 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    ship(spark)
     if args.command == "ingest":
         found = watchlist.from_file(spark, args.watchlist)
         s = found["settings"]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.session import table
+from eventloom.shared import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,6 +17,7 @@ class Tables:
     """Tables by name: ``t.orders`` reads orders.parquet."""
 
     def __init__(self, spark: SparkSession, root: str):
+        ship(spark)
         self._spark, self._root = spark, root
 
     def __getattr__(self, name: str) -> DataFrame:

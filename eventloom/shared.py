@@ -1,9 +1,13 @@
-"""Cut lineage in the folder that driver and executors share."""
+"""What a job shares between driver and executors: the folder that lineage is cut in, and this package itself."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once an application, so that they need no install of their own."""
+    app, root = spark.sparkContext.applicationId, Path(__file__).parent
+    if app in _SHIPPED or not root.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="eventloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(f"{folder}/{root.name}.zip")
+    _SHIPPED.add(app)
+
+
 def work_dir(spark: SparkSession) -> str:
     """This application's part of the shared folder."""
     return f"{shared_dir(spark)}/eventloom/{spark.sparkContext.applicationId}"
