@@ -35,7 +35,10 @@ def signals(items: DataFrame, nfkc=X.nfkc, normalize=X.normalize) -> DataFrame:
     t = X.signal_text(F.col("title"), F.col("summary"))
     out = items.withColumn("_signal", t).withColumns({"_text": nfkc("_signal"), "_key": X.loosen(normalize(F.col("_signal"))), "_month": hint_month(F.col("date_hint"))})
     raw = F.array_except(F.array_distinct(F.regexp_extract_all("_text", F.lit(V.TERM_PATTERN), F.lit(0))), F.array(*[F.lit(g) for g in V.GENERIC_TERMS]))
-    return out.withColumns({"_grams": X.bigrams(F.col("_key")), "_terms": raw, "_quoted": X.quoted_names(F.col("_text"), F.array().cast("array<string>"), lambda n: X.loosen(F.translate(X.fold_plain(n), V.BRACKETS + V.SEPARATORS, "")))})
+    out = out.withColumn("_terms", raw)
+    parts = {"_tri": 3, "_bi": 2}
+    out = out.withColumns({k: F.array_distinct(F.flatten(F.transform(F.filter("_terms", lambda t: F.char_length(t) >= n), lambda t: F.transform(F.sequence(F.lit(1), F.char_length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))))) for k, n in parts.items()})
+    return out.withColumns({"_short": F.filter("_terms", lambda t: F.char_length(t) == 2), "_grams": X.bigrams(F.col("_key")), "_quoted": X.quoted_names(F.col("_text"), F.array().cast("array<string>"), lambda n: X.loosen(F.translate(X.fold_plain(n), V.BRACKETS + V.SEPARATORS, "")))})
 
 
 def same_event(pairs: DataFrame, a: str, b: str) -> Column:
@@ -53,10 +56,13 @@ def same_event(pairs: DataFrame, a: str, b: str) -> Column:
     terms = {s: F.filter(c(s, "_terms"), lambda t: ~F.exists("shared", lambda x: x.contains(t) | t.contains(x))) for s in (a, b)}
     alike = F.arrays_overlap(c(a, "categories"), c(b, "categories"))
     quoted = F.arrays_overlap(names[a], names[b]) | X.quoted_in_text(names[a], c(b, "_key")) | X.quoted_in_text(names[b], c(a, "_key"))
+    # related terms have three characters in common, or one of two characters is within the other
+    touch = F.arrays_overlap(c(a, "_tri"), c(b, "_tri")) | F.arrays_overlap(c(a, "_bi"), c(b, "_short")) | F.arrays_overlap(c(a, "_short"), c(b, "_bi"))
     common = X.shared_term_count(terms[a], terms[b])
     timed = overlaps(c(a, "start"), c(a, "end"), c(b, "start"), c(b, "end")) | month_inside(c(a, "start"), c(a, "end"), c(b, "_month"), c(b, "start")) | month_inside(c(b, "start"), c(b, "end"), c(a, "_month"), c(a, "start"))
     similar = X.jaccard(c(a, "_grams"), c(b, "_grams")) >= V.SIMILAR_TITLES
-    return F.coalesce(similar | (quoted & alike) | (common >= V.SHARED_TERMS) | ((common >= 1) & timed & alike), F.lit(False))
+    enough = F.when(timed & alike, 1).otherwise(V.SHARED_TERMS)
+    return F.coalesce(similar | (quoted & alike) | (touch & (common >= enough)), F.lit(False))
 
 
 def same_event_pairs(signalled: DataFrame) -> DataFrame:
@@ -66,7 +72,7 @@ def same_event_pairs(signalled: DataFrame) -> DataFrame:
     """
     sides = {}
     for s in ("a", "b"):
-        side = signalled.select(*(F.col(f"`{c}`").alias(f"{s}_{c}") for c in ("ord", "labels", "categories", "start", "end", "_month", "_text", "_key", "_grams", "_terms", "_quoted")))
+        side = signalled.select(*(F.col(f"`{c}`").alias(f"{s}_{c}") for c in ("ord", "labels", "categories", "start", "end", "_month", "_key", "_grams", "_terms", "_tri", "_bi", "_short", "_quoted")))
         sides[s] = side.withColumn(f"{s}_label", F.explode(f"{s}_labels"))
     meet = sides["a"].join(sides["b"], (F.col("a_label") == F.col("b_label")) & (F.col("a_ord") < F.col("b_ord")))
     meet = meet.withColumn("shared", F.array_intersect("a_labels", "b_labels")).filter(F.col("a_label") == F.array_min("shared"))
