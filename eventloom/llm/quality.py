@@ -5,7 +5,7 @@ good labelled documents (by information gain on two thirds of the sample), prune
 covers and goes on until no rule is precise enough. The list becomes one ordered conditional expression over the
 statistics' columns.
 
-Learning takes ``MOST_ROWS`` labelled rows at most, those with the smallest hashes of doc_id; the statistics and the
+Learning takes ``MOST_ROWS`` labelled rows at most, chosen by a hash of doc_id; the statistics and the
 verdicts cover all rows.
 
 Nulls and edge cases: null text has no words and fails the base rule; null labels or doc_ids aren't learned from, nor are
@@ -172,7 +172,10 @@ def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.9, least: int = 8
 
 def fit(stats: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> list[list[Test]]:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    rows = stats.filter(~base_failed()).join(known, "doc_id").select(*COUNTS, "quality", F.xxhash64("doc_id").alias("h")).orderBy("h", *COUNTS, "quality").limit(most_rows).collect()
+    joined = materialize(stats.filter(~base_failed()).join(known, "doc_id").select(*COUNTS, "quality", F.xxhash64("doc_id").alias("h")), "labelled")
+    # the share of hashes first, so that each task has its part of the sample and not a whole one to sort
+    share = min(1.0, 1.1 * most_rows / max(1, joined.count()))
+    rows = joined.filter(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * share)).orderBy("h", *COUNTS, "quality").limit(most_rows).collect()
     if not rows:
         return []
     at = {c: np.array([r[c] for r in rows], dtype=float) for c in COUNTS}
