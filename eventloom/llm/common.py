@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.shared import materialize
+from eventloom.shared import materialize, ship
+
+T = TypeVar("T")
 
 #: The six characters that the contracts call white space.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -15,11 +20,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get this many rows at a time at most, as rows hold whole texts; a smaller setting stays."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Before an operator that runs Python: workers have this package, and get this many rows and bytes at a time at most,
+    as rows hold whole texts; a smaller setting of rows stays."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+_CACHE: dict = {}
+
+
+def worker_cache(key: Hashable, make: Callable[[], T]) -> T:
+    """What a Python worker keeps between tasks: one object, the last one asked for, so that the operators of a pipeline
+    don't add up in a worker that runs them in turn."""
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = make()
+    return _CACHE[key]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

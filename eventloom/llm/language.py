@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import read, small_batches
+from eventloom.llm.common import read, small_batches, worker_cache
 
 # First and last code point of script ranges.
 SCRIPTS = [
@@ -227,15 +227,9 @@ class Labeller:
         return [(edges[int(worded[a])][0], edges[int(worded[b - 1])][1], self.model.langs[path[a]]) for a, b in zip(cuts, cuts[1:])]
 
 
-_LABELLERS: dict[tuple[str, float], Labeller] = {}
-
-
 def labeller_of(model: Model, penalty: float) -> Labeller:
-    """This worker's labeller for a model; the last one only is kept."""
-    if (model.name, penalty) not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[model.name, penalty] = Labeller(model, penalty)
-    return _LABELLERS[model.name, penalty]
+    """This worker's labeller for a model."""
+    return worker_cache(("language", model.name, penalty), lambda: Labeller(model, penalty))
 
 
 def train(docs: DataFrame, per_language: int = 2000) -> Model:

@@ -7,7 +7,8 @@
    lists are made, and values that many texts share drop out of them unless a text consists of such values.
 3. Lists of up to ``SHORT`` texts give all their pairs. In longer ones each text is paired with one centre only; where
    such a list still holds several components afterwards, its texts are compared by the same principle over their full
-   sets with positional bounds, across components only. So no link is lost and no large group gives all its pairs.
+   sets with positional bounds: with a better centre first, then across components only. So no link is lost and no large
+   group gives all its pairs.
 4. The union sketch estimates a pair's similarity and drops what can't reach 0.75; full sets verify the rest.
 5. Components come from contraction of the verified links.
 
@@ -34,7 +35,7 @@ from eventloom.llm.common import Bloom, fresh, keep_absent, keep_present, read,
 from eventloom.operators.graph import components
 from eventloom.shared import materialize
 
-WIDTH, K, LEAST, SHORT = 5, 64, 26, 32
+WIDTH, K, LEAST, SHORT, FIRST = 5, 64, 26, 32, 16
 
 _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -126,39 +127,67 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(_with(left, sets, "full").mapInArrow(_verify, "a long, b long"), "links")
 
 
-def _residual(lists: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that may be linked across the components that meet in one long list."""
+def _residual(lists: DataFrame, sets: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the search across the components that meet in one long list.
+
+    The texts of such lists get inverted lists of their full sets. The text of a list whose shingles the others share most
+    is a better centre than the sketches could name: pairs with it come first, and only what is apart afterwards is
+    compared across components.
+    """
     named = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("v")
-    texts = materialize(named.join(mixed, "v").select("rep", "label").distinct(), "mixed")
+    texts = materialize(named.join(mixed, "v").select("rep").distinct(), "mixed")
     if texts.isEmpty():
-        return lists.sparkSession.createDataFrame([], "a long, b long")
+        return labels
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rep, label, n, full in zip(*(batch.column(c).to_pylist() for c in ("rep", "label", "n", "full")), strict=True):
+            for rep, n, full in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "full")), strict=True):
                 v = np.frombuffer(full, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), x, dtype=np.int64)) for x in (rep, label, n)] + [pa.array(v)], names=["rep", "label", "n", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), x, dtype=np.int64)) for x in (rep, n)] + [pa.array(v)], names=["rep", "n", "v"])
 
-    entries = materialize(sets.join(texts, "rep").select("rep", "label", "n", "full").mapInArrow(explode, "rep long, label long, n long, v long"), "entries")
+    entries = materialize(sets.join(texts, "rep").select("rep", "n", "full").mapInArrow(explode, "rep long, n long, v long"), "entries")
     common = materialize(entries.groupBy("v").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "common")
     # values of one text only come first in its order, so that they are counted and not carried
     shared = entries.join(common, "v")
-    rows = shared.groupBy("rep", "label", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "v"))).alias("vs"))
+    rows = shared.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "v"))).alias("vs"))
     alone = F.col("n") - F.size("vs")
     prefix = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - alone)
-    placed = materialize(rows.select("rep", "label", "n", alone.alias("alone"), F.posexplode(F.slice("vs", F.lit(1), prefix.cast("int"))).alias("k", "x")).select("rep", "label", "n", "x.v", (F.col("alone") + F.col("k") + 1).alias("pos")), "placed")
+    shown = F.slice("vs", F.lit(1), prefix.cast("int"))
+    weight = F.aggregate("vs", F.lit(0.0), lambda acc, x: acc + x.texts) / F.col("n")
+    rows = rows.select("rep", "n", alone.alias("alone"), weight.alias("weight"), F.transform(F.slice(shown, 1, FIRST), lambda x: x.v).alias("first"), F.posexplode(shown).alias("k", "x"))
+    placed = materialize(rows.select("rep", "n", "weight", "first", "x.v", (F.col("alone") + F.col("k") + 1).alias("pos")), "placed")
     least = placed.groupBy("v").agg(F.min("n").alias("least"))
     placed = placed.join(least, "v").filter(F.col("n") - F.col("pos") + 1 >= F.ceil((F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * 3 / 4))) * 3 / 7)).drop("least")
     placed = materialize(placed, "placed")
+
+    centres = materialize(placed.groupBy("v").agg(F.max(F.struct("weight", "rep", "n", "pos")).alias("c")), "centres")
+    now = labels.withColumnRenamed("node", "rep")
+    stars = placed.join(centres, "v").filter(F.col("rep") != F.col("c.rep")).select(F.col("rep"), F.col("c.rep").alias("c"), F.col("n").alias("n_a"), F.col("c.n").alias("n_b"), F.col("pos").alias("pos_a"), F.col("c.pos").alias("pos_b"))
+    stars = stars.filter(_near_size("n_a", "n_b") & _reach()).select("rep", "c").distinct()
+    own, theirs = now.withColumnRenamed("label", "own"), now.select(F.col("rep").alias("c"), F.col("label").alias("theirs"))
+    stars = stars.join(own, "rep", "left").join(theirs, "c", "left").filter(F.coalesce("own", "rep") != F.coalesce("theirs", "c"))
+    links = links.unionByName(_links(materialize(stars.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct(), "stars"), sets))
+    now = components(links).withColumnRenamed("node", "rep")
+
     # the largest component of each list needs no comparison within itself
-    largest = placed.groupBy("v", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels")
-    placed = materialize(placed.join(largest, "v"), "placed")
-    one = placed.filter("label <> main").select("v", *(F.col(c).alias(f"{c}_a") for c in ("rep", "label", "n", "pos")))
-    two = placed.select("v", "main", *(F.col(c).alias(f"{c}_b") for c in ("rep", "label", "n", "pos")))
-    bound = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= F.ceil((F.col("n_a") + F.col("n_b")) * 3 / 7)
-    meet = one.join(two, "v").filter((F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b"))) & _near_size("n_a", "n_b") & bound)
-    return meet.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    named = materialize(placed.join(now, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "placed")
+    largest = materialize(named.groupBy("v", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels"), "largest")
+    named = materialize(named.join(largest, "v"), "placed")
+    one = named.filter("label <> main").select("v", *(F.col(c).alias(f"{c}_a") for c in ("rep", "label", "n", "pos", "first")))
+    two = named.select("v", "main", *(F.col(c).alias(f"{c}_b") for c in ("rep", "label", "n", "pos", "first")))
+    apart = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b")))
+    # a pair is told at the first value that both have, where that is among their first ones
+    once = F.coalesce(F.get(F.array_intersect("first_a", "first_b"), 0), F.col("v")) == F.col("v")
+    meet = one.join(two, "v").filter(apart & _near_size("n_a", "n_b") & _reach() & once)
+    more = materialize(meet.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct(), "more")
+    links = links.unionByName(_links(more, sets))
+    return components(links)
+
+
+def _reach() -> Column:
+    """The positions of a common value in both orders leave an overlap of 0.75 possible."""
+    return 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= F.ceil((F.col("n_a") + F.col("n_b")) * 3 / 7)
 
 
 def group(docs: DataFrame) -> DataFrame:
@@ -207,9 +236,7 @@ def group(docs: DataFrame) -> DataFrame:
     links = _links(pairs, sets)
     labels = components(links)
     if not crowded.isEmpty():
-        more = _residual(crowded.select("v", "rep"), sets, labels)
-        if not (more := materialize(more, "more")).isEmpty():
-            labels = components(links.unionByName(_links(more, sets)))
+        labels = _residual(crowded.select("v", "rep"), sets, labels, links)
 
     # 5. the smallest doc_id of each component
     named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("label", "rep")).drop("label")

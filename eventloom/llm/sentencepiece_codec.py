@@ -27,7 +27,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import read, small_batches
+from eventloom.llm.common import read, small_batches, worker_cache
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -186,17 +186,17 @@ class Codec:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec_of(path: str, threads: int) -> Codec:
     """This worker's codec, verifying."""
-    if path not in _CODECS:
+
+    def make() -> Codec:
         with open(path, "rb") as f:
             data = f.read()
-        _CODECS[path] = Codec(data, threads)
-        _CODECS[path].verify_with(data)
-    return _CODECS[path]
+        codec = Codec(data, threads)
+        codec.verify_with(data)
+        return codec
+
+    return worker_cache(("sentencepiece", path, threads), make)
 
 
 def encode(docs: DataFrame, model: str, threads: int = 2) -> DataFrame:

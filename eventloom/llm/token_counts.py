@@ -27,7 +27,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import read, small_batches
+from eventloom.llm.common import read, small_batches, worker_cache
 from eventloom.llm.wordmemo import load_tokenizer
 
 _NOT_PLAIN = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
@@ -116,9 +116,6 @@ def lines(text: str) -> np.ndarray:
     return out[out[:, 1] > out[:, 0]]
 
 
-_SPANS: dict[str, Spans] = {}
-
-
 def attribute(docs: DataFrame, tokenizer: str, sections: str | None = None, rule: str = "start") -> DataFrame:
     """A row for each document: doc_id, n_tokens, n_crossing, sections (start, end, tokens), outside.
 
@@ -128,9 +125,7 @@ def attribute(docs: DataFrame, tokenizer: str, sections: str | None = None, rule
         raise ValueError(rule)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _SPANS:
-            _SPANS[tokenizer] = Spans(tokenizer)
-        spans = _SPANS[tokenizer]
+        spans = worker_cache(("spans", tokenizer), lambda: Spans(tokenizer))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

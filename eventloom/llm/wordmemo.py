@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from eventloom.llm.common import worker_cache
+
 #: The library's normaliser only lower-cases a text without such a character; its special tokens begin with <|.
 _NOT_PLAIN = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
 #: Fixed value: the pre-tokenizer's pattern over these letters.
@@ -31,11 +33,12 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class Memo(dict):
+class Memo:
     """Little-endian unsigned 32-bit ids of words, as bytes."""
 
     def __init__(self, tokenizer, most: int):
         self.tokenizer, self.most = tokenizer, most
+        self.known: dict[str, bytes] = {}
         vocab = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
@@ -60,30 +63,26 @@ class Memo(dict):
         texts = [t or "" for t in texts]
         plain = ["<|" not in t and not _NOT_PLAIN.search(t) for t in texts]
         cut = [_WORDS.findall(t.lower()) if p else (None if _ODD.search(t) else t.split()) for t, p in zip(texts, plain, strict=True)]
-        if len(self) > self.most:
-            self.clear()
-        words = set().union(*(c for c, p in zip(cut, plain, strict=True) if p)).difference(self)
-        chunks = set().union(*(c for c, p in zip(cut, plain, strict=True) if not p and c)).difference(self, words)
+        if len(self.known) > self.most:
+            self.known.clear()
+        known = self.known
+        words = set().union(*(c for c, p in zip(cut, plain, strict=True) if p)).difference(known)
+        chunks = set().union(*(c for c, p in zip(cut, plain, strict=True) if not p and c)).difference(known, words)
         extra: dict[str, bytes] = {}
         for new, encode in ((list(words), self.encode_words), (list(chunks), self.encode)):
             for w, ids in zip(new, encode(new), strict=True):
-                (self if len(w) <= _LONG else extra)[w] = ids
+                (known if len(w) <= _LONG else extra)[w] = ids
         out = []
         for t, c in zip(texts, cut, strict=True):
             if c is None:
                 out.append(self.encode([t])[0])
             elif extra:
-                out.append(b"".join([self[w] if w in self else extra[w] for w in c]))
+                out.append(b"".join([known[w] if w in known else extra[w] for w in c]))
             else:
-                out.append(b"".join(map(self.__getitem__, c)))
+                out.append(b"".join(map(known.__getitem__, c)))
         return out
 
 
-_MEMOS: dict[str, Memo] = {}
-
-
 def memo_of(path: str, most: int = 400_000) -> Memo:
-    """This worker's memo; it lives as long as the worker, and is bounded."""
-    if path not in _MEMOS:
-        _MEMOS[path] = Memo(load_tokenizer(path), most)
-    return _MEMOS[path]
+    """This worker's memo; it outlives the task, and is bounded."""
+    return worker_cache(("words", path), lambda: Memo(load_tokenizer(path), most))
