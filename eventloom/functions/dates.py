@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 
 from eventloom.functions import vocab as V
 
+# The weekdays from Monday, and periods.
 WEEKDAYS = "月火水木金土日"
 DURATION = r"(\d{1,2})\s*(週間|日間|ヶ月|か月|カ月)"
 
@@ -61,6 +62,7 @@ class DateScanner:
     reference date.
     """
 
+    # Patterns.
     DATE = re.compile(r"(?:(\d{4})\s*[年/／.]\s*)?(\d{1,2})\s*[月/／.]\s*(\d{1,2})\s*日?")
     MARK = re.compile(r"\s*[（(]([日月火水木金土])[）)]")
     JOINER = re.compile(r"\s*(?:[~〜～\-‐‑‒–—―]|から|より)\s*")
@@ -169,6 +171,7 @@ def mentions_month(texts: pd.Series, refs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["text", "year_explicit"])
 
 
+# Fixed value: a month and day.
 MONTH_DAY = r"(\d{1,2})\s*[月/／]\s*(\d{1,2})"
 
 

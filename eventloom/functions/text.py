@@ -7,6 +7,7 @@ changes beyond lower case.
 from __future__ import annotations
 
 import html as _html
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -67,6 +68,15 @@ def strip_site_suffix(title: Column, outlets: Sequence[str] = tuple(V.OUTLETS))
     return strip(F.regexp_replace(F.coalesce(title, F.lit("")), pattern, ""))
 
 
+def fill(message: str, *values: Column) -> Column:
+    """A message of the vocabulary with {0}, {1}, ... replaced; null if a value is."""
+    parts, at = [], 0
+    for m in re.finditer(r"\{(\d)\}", message):
+        parts += [F.lit(message[at : m.start()]), values[int(m[1])].cast("string")]
+        at = m.end()
+    return F.concat(*parts, F.lit(message[at:]))
+
+
 def strip(text: Column) -> Column:
     """White space of any kind off both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -98,6 +108,7 @@ def shared_term_count(a: Column, b: Column) -> Column:
     return F.size(F.filter(a, lambda x: F.exists(b, lambda y: related(x, y))))
 
 
+# Fixed value: names in corner brackets.
 QUOTED = "[「『]([^「」『』]{4,40})[」』]"
 
 
@@ -111,6 +122,7 @@ def quoted_in_text(names: Column, other_key: Column, least: int = V.QUOTED_LEAST
     return F.exists(names, lambda n: (F.char_length(n) >= least) & other_key.contains(n))
 
 
+# Fixed value: a title that ends with an account.
 HANDLE = r"[（(]@[A-Za-z0-9_]{1,15}[）)]\s*$"
 
 
@@ -127,13 +139,20 @@ def unescape_common(text: Column) -> Column:
     return text
 
 
+# What of a page goes, and what takes its place, before and after entities are resolved.
+PAGE_TAGS = [(r"(?is)<(script|style|noscript)\b.*?</\1>", " "), (r"(?i)<br\s*/?>|</p>|</div>|</li>|</h[1-6]>", "\n"), ("<[^>]+>", " ")]
+PAGE_SPACE = [("[ \t　]+", " "), ("\n{3,}", "\n\n")]
+
+
 def html_to_text(page: Column, entities=unescape) -> Column:
     """Readable text: no scripts or styles, block ends as line ends, tags as spaces, runs of space and lines shortened."""
-    t = F.regexp_replace(F.coalesce(page, F.lit("")), r"(?is)<(script|style|noscript)\b.*?</\1>", " ")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</p>|</div>|</li>|</h[1-6]>", "\n")
-    t = entities(F.regexp_replace(t, "<[^>]+>", " "))
-    t = F.regexp_replace(t, "[ \t　]+", " ")
-    return strip(F.regexp_replace(t, "\n{3,}", "\n\n"))
+    t = F.coalesce(page, F.lit(""))
+    for pattern, to in PAGE_TAGS:
+        t = F.regexp_replace(t, pattern, to)
+    t = entities(t)
+    for pattern, to in PAGE_SPACE:
+        t = F.regexp_replace(t, pattern, to)
+    return strip(t)
 
 
 def clip(text: Column, width: int) -> Column:

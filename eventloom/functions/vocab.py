@@ -52,3 +52,31 @@ VENUE_QUERIES = ["新文芸坐 特集上映 スケジュール アニメ", "塚
 BROAD_QUERIES = ["アニメ リバイバル上映 決定", "劇場アニメ 応援上映 爆音上映 決定", "アニメ 原画展 開催 決定"]
 POST_WORK, POST_PERSON, POST_ACCOUNT = "{term} リバイバル上映 OR 上映決定 OR 舞台挨拶", "{term} 上映 OR イベント OR 展", "from:{term} 上映"
 ACCOUNTS = ["Filmarks_ticket", "toho_movie", "shin_bungeiza", "sunsun3_gekijo"]
+
+# Reasons for which a date isn't announced; {0} and {1} stand for numbers.
+REASON_NO_DATE = "日付が読み取れない"
+REASON_SPAN = "会期が{0}日と長すぎる（この種別の上限{1}日）。掲載期間や年度表示を拾った疑い"
+REASON_NO_YEAR = "記事の公開日が不明で、出典にも年の記載がない"
+REASON_OLD = "記事が古い（{0}日前）"
+REASON_BEFORE = "記事の公開日より前の日付（過去の出来事への言及）"
+REASON_AFTER = "記事の公開日から離れすぎている（年の取り違えの疑い）"
+NOTE_NO_YEAR = "出典に年の記載がなく、記事の公開日も不明"
+NOTE_MONTH = "出典に月までしか書かれていない（日は未発表）"
+
+# Notes on article bodies; {0} stands for a text.
+BODY_BLOCKED = "本文を取得できない（ネットワークポリシーで遮断）"
+BODY_FAILED = "本文を取得できない（{0}）"
+BODY_CORRECTED = "本文により {0} から訂正"
+BODY_CONFIRMED = "本文で確認"
+BODY_CONTRADICTED = "本文と一致しない"
+BODY_NO_YEAR = "本文に同じ月日はあるが、年の記載なし"
+BODY_NO_DATE = "本文に日付の記載なし"
+BODY_DATE_NOTE = "本文に該当する日付が見当たらない"
+
+# Texts of digests and mails; {0} and {1} stand for numbers or texts.
+PERIOD_UNSURE, PERIOD_OPEN, PERIOD_JOINER = "日程未確認", "日程未定", "〜"
+BULLET_HEAD, BULLET_MORE, PUSH_MORE = "新着{0}件", "- ほか{0}件", "ほか{0}件"
+MAIL_SUBJECT = "{0} 新着{1}件（ウォッチ対象{2}件）"
+MAIL_NOTHING, MAIL_INTRO = "新着はありませんでした。", "{0} 時点の新着イベント情報です。"
+MAIL_NOTE, MAIL_HINT, MAIL_NO_HINT = "   ※ 日程は載せていません（{0}）: {1}", "「{0}」とあるが未確認", "日付なし"
+MAIL_OUTRO = "※ うち{0}件は日程を載せていません。出典に年の記載が無いなど、裏の取れない日付は誤りのもとなので出さない方針です。判明した回に再通知します。"

@@ -10,6 +10,7 @@ from eventloom.functions import vocab as V
 from eventloom.operators.graph import components
 from eventloom.shared import materialize
 
+# Fixed value: a month with its year.
 HINT_MONTH = r"(20\d{2})\s*年\s*(\d{1,2})\s*月"
 
 

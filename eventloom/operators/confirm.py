@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions import vocab as V
 from eventloom.functions.dates import MONTH_DAY, extract_ranges, month_days
-from eventloom.functions.text import nfkc
+from eventloom.functions.text import fill, nfkc
 
 
 def confirm(items: DataFrame, bodies: DataFrame, folded=nfkc, ranges=extract_ranges) -> DataFrame:
@@ -34,12 +35,12 @@ def confirm(items: DataFrame, bodies: DataFrame, folded=nfkc, ranges=extract_ran
     moved = F.col("event.start").isNotNull() & (F.col("event.start") != F.col("_right.start"))
     note = (
         F.when(empty, F.lit(None).cast("string"))
-        .when(is_("unreachable"), F.when(F.col("error_kind") == "blocked", F.lit("本文を取得できない（ネットワークポリシーで遮断）")).otherwise(F.concat(F.lit("本文を取得できない（"), F.coalesce("error_detail", F.lit("")), F.lit("）"))))
-        .when(is_("confirmed"), F.when(moved, F.concat(F.lit("本文により "), F.col("event.start").cast("string"), F.lit(" から訂正"))).otherwise(F.lit("本文で確認")))
-        .when(is_("contradicted"), F.lit("本文と一致しない")).when(is_("consistent"), F.lit("本文に同じ月日はあるが、年の記載なし")).otherwise(F.lit("本文に日付の記載なし"))
+        .when(is_("unreachable"), F.when(F.col("error_kind") == "blocked", F.lit(V.BODY_BLOCKED)).otherwise(fill(V.BODY_FAILED, F.coalesce("error_detail", F.lit("")))))
+        .when(is_("confirmed"), F.when(moved, fill(V.BODY_CORRECTED, F.col("event.start"))).otherwise(F.lit(V.BODY_CONFIRMED)))
+        .when(is_("contradicted"), F.lit(V.BODY_CONTRADICTED)).when(is_("consistent"), F.lit(V.BODY_NO_YEAR)).otherwise(F.lit(V.BODY_NO_DATE))
     )
     event = F.when(is_("confirmed"), F.col("_right")).when(is_("contradicted"), F.lit(None)).otherwise(F.col("event"))
-    date_note = F.when(is_("confirmed"), F.lit("")).when(is_("contradicted"), F.lit("本文に該当する日付が見当たらない")).otherwise(F.col("date_note"))
+    date_note = F.when(is_("confirmed"), F.lit("")).when(is_("contradicted"), F.lit(V.BODY_DATE_NOTE)).otherwise(F.col("date_note"))
     date_hint = F.when(is_("confirmed"), F.lit(None)).otherwise(F.col("date_hint"))
     x = x.withColumn("body_note", note).withColumns({"event": event, "date_note": date_note, "date_hint": date_hint})
     return x.drop("_target", "_days", "_ranges", "_right", "_got", "_body", "error_kind", "error_detail")

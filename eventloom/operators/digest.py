@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import vocab as V
-from eventloom.functions.text import clip
+from eventloom.functions.text import clip, fill
 
 
 def period(start: Column, end: Column, note: Column) -> Column:
     """M/D, M/D〜M/D, or one of two texts for no date."""
     day = lambda d: F.date_format(d, "M/d")
-    return F.when(start.isNull(), F.when(F.coalesce(note, F.lit("")) != "", F.lit("日程未確認")).otherwise(F.lit("日程未定"))).when(end.isNotNull() & (end != start), F.concat(day(start), F.lit("〜"), day(end))).otherwise(day(start))
+    return F.when(start.isNull(), F.when(F.coalesce(note, F.lit("")) != "", F.lit(V.PERIOD_UNSURE)).otherwise(F.lit(V.PERIOD_OPEN))).when(end.isNotNull() & (end != start), F.concat(day(start), F.lit(V.PERIOD_JOINER), day(end))).otherwise(day(start))
 
 
 def label(categories: Column, match_labels: Column) -> Column:
@@ -28,7 +28,7 @@ def by_date() -> list[Column]:
 def push_line(items: DataFrame) -> DataFrame:
     """One line: the next event and how many more; at most 200 characters."""
     head = items.agg(F.min(F.struct(F.col("start").isNull(), "start", "ord", "end", "title", "date_note")).alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 0")
-    line = F.concat_ws(" ", period(F.col("h.start"), F.col("h.end"), F.col("h.date_note")), F.col("h.title"), F.when(F.col("n") > 1, F.concat(F.lit("ほか"), (F.col("n") - 1).cast("string"), F.lit("件"))))
+    line = F.concat_ws(" ", period(F.col("h.start"), F.col("h.end"), F.col("h.date_note")), F.col("h.title"), F.when(F.col("n") > 1, fill(V.PUSH_MORE, F.col("n") - 1)))
     return head.select(F.when(F.char_length(line) > 200, F.concat(F.substring(line, 1, 197), F.lit("…"))).otherwise(line).alias("push"))
 
 
@@ -38,13 +38,13 @@ def push_bullets(items: DataFrame, keys: list[str], limit: int = 6) -> DataFrame
     n = Window.partitionBy(*keys)
     top = items.withColumns({"_r": F.row_number().over(n.orderBy(*by_date())), "_n": F.count(F.lit(1)).over(n)}).filter(F.col("_r") <= limit)
     g = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", clip(F.col("title"), 56).alias("t")))).alias("x"), F.max("_n").alias("n"))
-    lines = F.concat(F.array(F.concat(F.lit("新着"), F.col("n").cast("string"), F.lit("件"))), F.transform("x", lambda e: F.concat(F.lit("- "), e.t)), F.when(F.col("n") > limit, F.array(F.concat(F.lit("- ほか"), (F.col("n") - limit).cast("string"), F.lit("件")))).otherwise(F.array().cast("array<string>")))
+    lines = F.concat(F.array(fill(V.BULLET_HEAD, F.col("n"))), F.transform("x", lambda e: F.concat(F.lit("- "), e.t)), F.when(F.col("n") > limit, F.array(fill(V.BULLET_MORE, F.col("n") - limit))).otherwise(F.array().cast("array<string>")))
     return g.select(*keys, F.col("n").alias("n_items"), F.array_join(lines, "\n").alias("bullets"))
 
 
 def email_subject(items: DataFrame, keys: list[str], today: Column) -> DataFrame:
     g = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("watched").alias("w"))
-    return g.select(*keys, F.concat(F.date_format(today, "MM/dd"), F.lit(" 新着"), F.col("n").cast("string"), F.lit("件（ウォッチ対象"), F.col("w").cast("string"), F.lit("件）")).alias("subject"))
+    return g.select(*keys, fill(V.MAIL_SUBJECT, F.date_format(today, "MM/dd"), F.col("n"), F.col("w")).alias("subject"))
 
 
 def email_entry(today: Column) -> Column:
@@ -53,18 +53,18 @@ def email_entry(today: Column) -> Column:
     head = F.rtrim(F.concat(F.lit("■ "), period(F.col("start"), F.col("end"), F.col("date_note")), F.lit("  "), F.col("title"), F.lit("  "), F.coalesce(F.element_at(names, F.coalesce("status", F.lit("new"))), F.lit(""))))
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     indent = lambda x: F.concat(F.lit("   "), x)
-    shown = F.when(some("date_hint").isNotNull(), F.concat(F.lit("「"), F.col("date_hint"), F.lit("」とあるが未確認"))).otherwise(F.lit("日付なし"))
-    note = F.when(some("date_note").isNotNull(), F.concat(F.lit("   ※ 日程は載せていません（"), F.col("date_note"), F.lit("）: "), shown))
+    shown = F.when(some("date_hint").isNotNull(), fill(V.MAIL_HINT, F.col("date_hint"))).otherwise(F.lit(V.MAIL_NO_HINT))
+    note = F.when(some("date_note").isNotNull(), fill(V.MAIL_NOTE, F.col("date_note"), shown))
     return F.concat_ws("\n", head, indent(label(F.col("categories"), F.transform("matches", lambda m: m.label))), indent(F.substring(some("summary"), 1, 120)), note, indent(some("url")), F.lit(""))
 
 
 def email_body(items: DataFrame, today: Column) -> DataFrame:
     """One row with the mail's text."""
     g = items.withColumn("_e", email_entry(today)).agg(F.array_sort(F.collect_list(F.struct(F.col("start").isNull().alias("u"), "start", "ord", "_e"))).alias("x"), F.count_if(F.col("start").isNull()).alias("undated"))
-    intro = F.concat(F.date_format(today, "yyyy年M月d日"), F.lit(" 時点の新着イベント情報です。"))
-    outro = F.when(F.col("undated") > 0, F.concat(F.lit("※ うち"), F.col("undated").cast("string"), F.lit("件は日程を載せていません。出典に年の記載が無いなど、裏の取れない日付は誤りのもとなので出さない方針です。判明した回に再通知します。")))
+    intro = fill(V.MAIL_INTRO, F.date_format(today, "yyyy年M月d日"))
+    outro = F.when(F.col("undated") > 0, fill(V.MAIL_OUTRO, F.col("undated")))
     body = F.concat_ws("\n", intro, F.lit(""), F.array_join(F.transform("x", lambda e: e._e), "\n"), outro)
-    return g.select(F.when(F.size("x") == 0, F.lit("新着はありませんでした。")).otherwise(body).alias("body"))
+    return g.select(F.when(F.size("x") == 0, F.lit(V.MAIL_NOTHING)).otherwise(body).alias("body"))
 
 
 def calendar_events(items: DataFrame) -> DataFrame:

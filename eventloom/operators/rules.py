@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eventloom.functions import vocab as V
-from eventloom.functions.text import fold_words
+from eventloom.functions.text import fill, fold_words
 
 
 def any_of(key: Column, words: Sequence[str], folded: bool = False) -> Column:
@@ -81,23 +81,16 @@ def max_span(categories: Column, spans: Mapping[str, int] = V.SPAN_DAYS, default
     return F.coalesce(F.array_max(F.transform(categories, lambda c: F.element_at(table, c))), F.lit(default))
 
 
-# Reasons.
-NO_DATE = "日付が読み取れない"
-NO_YEAR = "記事の公開日が不明で、出典にも年の記載がない"
-BEFORE = "記事の公開日より前の日付（過去の出来事への言及）"
-AFTER = "記事の公開日から離れすぎている（年の取り違えの疑い）"
-
-
 def assess(start: Column, end: Column, published: Column, today: Column, explicit: Column, categories: Column) -> Column:
     """struct<accepted, reason>: whether a date may be announced; the first rule that speaks decides."""
     span, limit, age = F.datediff(end, start) + 1, max_span(categories), F.datediff(today, published)
     reason = (
-        F.when(start.isNull(), F.lit(NO_DATE))
-        .when(span > limit, F.concat(F.lit("会期が"), span.cast("string"), F.lit("日と長すぎる（この種別の上限"), limit.cast("string"), F.lit("日）。掲載期間や年度表示を拾った疑い")))
-        .when(published.isNull(), F.when(F.coalesce(explicit, F.lit(False)), F.lit("")).otherwise(F.lit(NO_YEAR)))
-        .when(age > V.MOST_AGE_DAYS, F.concat(F.lit("記事が古い（"), age.cast("string"), F.lit("日前）")))
-        .when((start < F.date_sub(published, V.MOST_BACK_DAYS)) & ~F.coalesce(end >= today, F.lit(False)), F.lit(BEFORE))
-        .when(start > F.date_add(published, V.MOST_LEAD_DAYS), F.lit(AFTER))
+        F.when(start.isNull(), F.lit(V.REASON_NO_DATE))
+        .when(span > limit, fill(V.REASON_SPAN, span, limit))
+        .when(published.isNull(), F.when(F.coalesce(explicit, F.lit(False)), F.lit("")).otherwise(F.lit(V.REASON_NO_YEAR)))
+        .when(age > V.MOST_AGE_DAYS, fill(V.REASON_OLD, age))
+        .when((start < F.date_sub(published, V.MOST_BACK_DAYS)) & ~F.coalesce(end >= today, F.lit(False)), F.lit(V.REASON_BEFORE))
+        .when(start > F.date_add(published, V.MOST_LEAD_DAYS), F.lit(V.REASON_AFTER))
         .otherwise(F.lit(""))
     )
     return F.struct((reason == "").alias("accepted"), reason.alias("reason"))

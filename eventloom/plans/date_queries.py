@@ -171,7 +171,7 @@ def assess_verdict(t: Tables) -> DataFrame:
     v = R.assess(start, F.when(start.isNotNull(), end), F.when(F.col("l_orderkey") % 13 != 0, _order_date()), today(), F.col("l_suppkey") % 2 == 0, _categories())
     x = x.select("l_orderkey", v.alias("v"))
     r = F.col("v.reason")
-    word = F.when(F.col("v.accepted"), "ok").when(r == R.NO_DATE, "none").when(r.startswith("会期が"), "span").when(r == R.NO_YEAR, "year").when(r.startswith("記事が古い"), "old").when(r == R.BEFORE, "before").otherwise("after")
+    word = F.when(F.col("v.accepted"), "ok").when(r == V.REASON_NO_DATE, "none").when(r.startswith("会期が"), "span").when(r == V.REASON_NO_YEAR, "year").when(r.startswith("記事が古い"), "old").when(r == V.REASON_BEFORE, "before").otherwise("after")
     return x.groupBy(word.alias("verdict")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
 
 

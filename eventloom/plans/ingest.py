@@ -17,8 +17,6 @@ from eventloom.operators import rules as R
 from eventloom.operators import state as S
 from eventloom.shared import materialize
 
-NO_YEAR_NOTE, MONTH_NOTE = "出典に年の記載がなく、記事の公開日も不明", "出典に月までしか書かれていない（日は未発表）"
-
 
 @dataclass(frozen=True)
 class Config:
@@ -74,7 +72,7 @@ def dated(items: DataFrame, config: Config) -> DataFrame:
     x = x.withColumns({
         "event": F.when(ok, r),
         "date_hint": F.when(ok, F.lit(None)).when(hint.isNotNull(), hint).when(by_month, F.col("_month.text")),
-        "date_note": F.when(ok, "").when(hint.isNotNull() & ~has, NO_YEAR_NOTE).when(by_month, MONTH_NOTE).otherwise(F.col("_v.reason")),
+        "date_note": F.when(ok, "").when(hint.isNotNull() & ~has, V.NOTE_NO_YEAR).when(by_month, V.NOTE_MONTH).otherwise(F.col("_v.reason")),
         "unverifiable": ~ok & F.col("published").isNull() & ~(by_month & F.col("_month.year_explicit")),
     })
     if config.drop_past_events:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions import vocab as V
+from eventloom.functions.text import fill
 from eventloom.operators import digest as G
 from eventloom.operators.state import prune
 
@@ -27,7 +29,7 @@ def digest(items: DataFrame, today: Column) -> DataFrame:
     """One row: generated_at, count, push, bullets, subject, body of items (also of none)."""
     keyed = items.withColumn("_g", F.lit(1))
     one = items.agg(F.count(F.lit(1)).alias("count"), F.count_if("watched").alias("watched"))
-    subject = F.concat(F.date_format(today, "MM/dd"), F.lit(" 新着"), F.col("count").cast("string"), F.lit("件（ウォッチ対象"), F.col("watched").cast("string"), F.lit("件）"))
+    subject = fill(V.MAIL_SUBJECT, F.date_format(today, "MM/dd"), F.col("count"), F.col("watched"))
     row = one.select(F.lit(1).alias("_g"), today.alias("generated_at"), "count", subject.alias("subject"))
     row = row.join(G.push_bullets(keyed, ["_g"]).select("_g", "bullets"), "_g", "left")
     for part in (G.push_line(items), G.email_body(items, today)):
