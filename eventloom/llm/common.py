@@ -20,7 +20,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "4m") -> None:
     """Before an operator that runs Python: workers have this package, and get this many rows and bytes at a time at most,
     as rows hold whole texts; a smaller setting of rows stays."""
     ship(spark)

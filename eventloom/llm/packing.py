@@ -33,11 +33,12 @@ END = b"\0\0\0\0"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """A row for each piece; part is the task that made it and nth its number among that task's pieces of its length."""
+def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, memo_words: int = 400_000) -> DataFrame:
+    """A row for each piece; part is the task that made it and nth its number among that task's pieces of its length.
+    memo_words: how many words a Python worker keeps encoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = memo_of(tokenizer)
+        memo = memo_of(tokenizer, memo_words)
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             cols = [[] for _ in range(7)]
@@ -146,9 +147,9 @@ class Plan:
                 self._emit(lengths, k)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, memo_words: int = 400_000) -> DataFrame:
     """A row for each piece with its sequence_id and offset."""
-    pieces = materialize(encode_pieces(docs, tokenizer, capacity), "pieces")
+    pieces = materialize(encode_pieces(docs, tokenizer, capacity, memo_words), "pieces")
     tallies = materialize(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "tallies")
     # at most `capacity` rows come to the driver
     plan = Plan({r["length"]: r["n"] for r in tallies.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)

@@ -85,4 +85,4 @@ class Memo:
 
 def memo_of(path: str, most: int = 400_000) -> Memo:
     """This worker's memo; it outlives the task, and is bounded."""
-    return worker_cache(("words", path), lambda: Memo(load_tokenizer(path), most))
+    return worker_cache(("words", path, most), lambda: Memo(load_tokenizer(path), most))
