@@ -35,9 +35,14 @@ def push_line(items: DataFrame) -> DataFrame:
 def push_bullets(items: DataFrame, keys: list[str], limit: int = 6) -> DataFrame:
     """For each key a head line, the first titles by date and the number of others. Only the first ``limit`` rows of a key
     are gathered."""
-    n = Window.partitionBy(*keys)
-    top = items.withColumns({"_r": F.row_number().over(n.orderBy(*by_date())), "_n": F.count(F.lit(1)).over(n)}).filter(F.col("_r") <= limit)
-    g = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", clip(F.col("title"), 56).alias("t")))).alias("x"), F.max("_n").alias("n"))
+    # the limit is known to the plan, so that each task passes on its first rows of a key only; counts are combined apart
+    top = items.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*by_date()))).filter(F.col("_r") <= limit)
+    g = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", clip(F.col("title"), 56).alias("t")))).alias("x"))
+    counts = items.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("n"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    g = g.join(counts, same)
     lines = F.concat(F.array(fill(V.BULLET_HEAD, F.col("n"))), F.transform("x", lambda e: F.concat(F.lit("- "), e.t)), F.when(F.col("n") > limit, F.array(fill(V.BULLET_MORE, F.col("n") - limit))).otherwise(F.array().cast("array<string>")))
     return g.select(*keys, F.col("n").alias("n_items"), F.array_join(lines, "\n").alias("bullets"))
 
