@@ -168,9 +168,9 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 class Labeller:
     """Labels whole texts; scores of chunks are kept, as many as a fixed size allows."""
 
-    def __init__(self, model: Model, penalty: float):
+    def __init__(self, model: Model, penalty: float, memo_scores: int):
         self.model, self.penalty = model, penalty
-        self.most = 2_400_000 // max(16, len(model.langs))
+        self.most = memo_scores // max(16, len(model.langs))
         self._clear()
 
     def _clear(self) -> None:
@@ -227,9 +227,12 @@ class Labeller:
         return [(edges[int(worded[a])][0], edges[int(worded[b - 1])][1], self.model.langs[path[a]]) for a, b in zip(cuts, cuts[1:])]
 
 
-def labeller_of(model: Model, penalty: float) -> Labeller:
-    """This worker's labeller for a model."""
-    return worker_cache(("language", model.name, penalty), lambda: Labeller(model, penalty))
+MEMO_SCORES = 2_400_000
+
+
+def labeller_of(model: Model, penalty: float, memo_scores: int = MEMO_SCORES) -> Labeller:
+    """This worker's labeller for a model; memo_scores: how many scores of words it keeps."""
+    return worker_cache(("language", model.name, penalty), lambda: Labeller(model, penalty, memo_scores))
 
 
 def train(docs: DataFrame, per_language: int = 2000) -> Model:
@@ -278,12 +281,12 @@ def label(docs: DataFrame, model: Model, penalty: float = 8.0) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
 
 
-def keep_known(docs: DataFrame, least: float = 0.4, penalty: float = 8.0) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.4, penalty: float = 8.0, memo_scores: int = MEMO_SCORES) -> DataFrame:
     """The documents in a known language that has at least this share of their letters; columns are kept."""
     model = train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = labeller_of(model, penalty)
+        labeller = labeller_of(model, penalty, memo_scores)
         for batch in batches:
             found = []
             for at in range(0, batch.num_rows, 512):
