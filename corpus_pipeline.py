@@ -1,7 +1,8 @@
 """The document pipeline: language, exact copies, near copies, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written and read again as the next one's docs; all but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``. The stages run in the same Python workers one after another, so that their
+memos are smaller here than on their own.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from eventloom.shared import materialize
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose letters are mostly of one learned language."""
-    return language.keep_known(docs)
+    return language.keep_known(docs, memo_scores=1_000_000)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces in training sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo_words=120_000)
 
 
 STAGES = [
