@@ -129,7 +129,7 @@ def resolve(members: DataFrame) -> DataFrame:
 
 def collapse(items: DataFrame) -> DataFrame:
     """Clusters and their values. items as for signals and resolve; labels come from matches."""
-    labelled = materialize(items.withColumn("labels", F.array_distinct(F.filter(F.transform("matches", lambda m: m.label), lambda x: F.coalesce(x, F.lit("")) != ""))), "items")
+    labelled = materialize(items.withColumn("labels", F.array_distinct(F.filter(F.transform("matches", lambda m: m.label), lambda x: F.coalesce(x, F.lit("")) != ""))), "items", wide=True)
     return resolve(clusters(labelled, same_event_pairs(materialize(signals(labelled), "signals"))))
 
 

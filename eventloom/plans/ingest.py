@@ -83,7 +83,7 @@ def dated(items: DataFrame, config: Config) -> DataFrame:
 def run(candidates: DataFrame, seen: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """New and updated items in order of ord, and the state after the run. Items are made once and written, as both results
     read them."""
-    items = materialize(dated(keyed(evaluate(candidates, config)), config).withColumn("event_date", F.col("event.start")), "items")
+    items = materialize(dated(keyed(evaluate(candidates, config)), config).withColumn("event_date", F.col("event.start")), "items", wide=True)
     told = S.status(items, seen)
     after = S.remember(seen, items, F.lit(config.today))
     first = told.join(after.select("key", "first_seen"), "key").filter("status <> 'known'")
