@@ -56,11 +56,13 @@ def release(spark: SparkSession) -> None:
 def materialize(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again. A lost executor can't take these rows away.
 
-    Two files a core are written at most, as most such tables are small beside their source and their partitions need no
-    task of their own. wide: as many as there are partitions, for work that is heavy itself, such as reading whole texts.
+    Most such tables are small beside their source, so that two files a core, or one for eight shuffle partitions if that
+    is more, are written at most. wide: as many as there are partitions, for tables that follow the corpus and work that is
+    heavy itself, such as reading whole texts.
     """
     if not wide:
-        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+        spark = df.sparkSession
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
