@@ -24,7 +24,7 @@ def _digests(docs: DataFrame) -> DataFrame:
 
 def decide(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests = materialize(_digests(docs), "digests")
+    digests = materialize(_digests(docs), "digests", wide=True)
     bloom = Bloom(digests.count()).of_repeated(digests, "text_sha256")
     probed = bloom.probe(digests, F.col("text_sha256"), "hit")
     single = probed.filter(~F.col("hit")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
@@ -41,7 +41,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns. Possibly repeated rows are combined before the shuffle, so that a
     group sends one row a task, and rows that are surely unique aren't shuffled at all."""
     sha, size, hit, best = fresh(docs, "sha", "size", "hit", "best")
-    digests = materialize(docs.select(F.sha2(strip_blanks(F.col("text")), 256).alias("text_sha256")), "digests")
+    digests = materialize(docs.select(F.sha2(strip_blanks(F.col("text")), 256).alias("text_sha256")), "digests", wide=True)
     bloom = Bloom(digests.count()).of_repeated(digests, "text_sha256")
     named = docs.withColumns({sha: F.sha2(strip_blanks(F.col("text")), 256), size: F.coalesce(F.char_length("text"), F.lit(0))})
     probed = bloom.probe(named, F.col(sha), hit)

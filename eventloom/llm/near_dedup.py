@@ -195,7 +195,7 @@ def group(docs: DataFrame) -> DataFrame:
     component_id."""
     small_batches(docs.sparkSession)
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
-    base = materialize(numbered.mapInArrow(_sketches, "doc_id long, row long, n long, sig binary, sketch array<long>"), "sketches")
+    base = materialize(numbered.mapInArrow(_sketches, "doc_id long, row long, n long, sig binary, sketch array<long>"), "sketches", wide=True)
     rows = base.count()
 
     # 1. classes of equal sets
@@ -210,13 +210,13 @@ def group(docs: DataFrame) -> DataFrame:
     entries = firsts.select("rep", "n", F.explode("sketch").alias("v"))
 
     # 2. inverted lists of each text's rarest retained values
-    shared = materialize(entries.groupBy("v").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "shared")
+    shared = materialize(entries.groupBy("v").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "shared", wide=True)
     overlaps = keep_present(entries, "v", shared, shared.count())
     kept = overlaps.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "v"))).alias("vs")).filter(F.size("vs") >= _need(F.col("n")))
     size = F.least(F.col("n"), F.lit(K))
     prefix = F.greatest(F.lit(0), size - _need(F.col("n")) + 1 - (size - F.size("vs")))
     lists = kept.select("rep", "n", (size - F.size("vs")).alias("alone"), F.explode(F.slice(F.col("vs").getField("v"), F.lit(1), prefix.cast("int"))).alias("v"))
-    lists = materialize(lists, "lists")
+    lists = materialize(lists, "lists", wide=True)
     sizes = materialize(lists.groupBy("v").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("alone", "rep", "n")).alias("centre")).filter("texts > 1"), "sizes")
     long_lists = sizes.filter(F.col("texts") > SHORT)
 
@@ -232,7 +232,7 @@ def group(docs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowded.select("rep")).distinct()
     wanted = materialize(base.select(F.col("row").alias("rep"), "sig").join(wanted, "rep"), "wanted")
     texts = keep_present(numbered.select(F.col("row").alias("rep"), "text"), "rep", wanted, wanted.count())
-    sets = materialize(texts.mapInArrow(_full_sets, "rep long, n long, sketch binary, full binary"), "sets")
+    sets = materialize(texts.mapInArrow(_full_sets, "rep long, n long, sketch binary, full binary"), "sets", wide=True)
     links = _links(pairs, sets)
     labels = components(links)
     if not crowded.isEmpty():

@@ -149,7 +149,7 @@ class Plan:
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, memo_words: int = 400_000) -> DataFrame:
     """A row for each piece with its sequence_id and offset."""
-    pieces = materialize(encode_pieces(docs, tokenizer, capacity, memo_words), "pieces")
+    pieces = materialize(encode_pieces(docs, tokenizer, capacity, memo_words), "pieces", wide=True)
     tallies = materialize(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "tallies")
     # at most `capacity` rows come to the driver
     plan = Plan({r["length"]: r["n"] for r in tallies.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)

@@ -126,7 +126,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """row, doc_id, base spans and mentions of each document, written to the shared folder."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(rows.mapInArrow(_scan, f"row long, doc_id long, base {_SPAN_DDL}, mentions array<struct<start: long, end: long, pattern: string, instance: long, seed: boolean>>"), "scan")
+    return materialize(rows.mapInArrow(_scan, f"row long, doc_id long, base {_SPAN_DDL}, mentions array<struct<start: long, end: long, pattern: string, instance: long, seed: boolean>>"), "scan", wide=True)
 
 
 def good_patterns(scanned: DataFrame, rounds: int = 3, seeds: int = 5, least: float = 0.6) -> DataFrame:

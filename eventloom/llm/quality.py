@@ -196,7 +196,7 @@ def verdict(rules: list[list[Test]]) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, COUNTS, base_failed, rule and kept of each document."""
-    stats = materialize(statistics(docs), "statistics")
+    stats = materialize(statistics(docs), "statistics", wide=True)
     return stats.withColumns({"base_failed": base_failed(), "rule": verdict(fit(stats, labels))}).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 

@@ -62,7 +62,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return x.value.rlike("[0-9]") & x.value.rlike("[A-Z]") & x.value.rlike("[a-z]")
 
     free = F.filter("words", lambda x: mixed(x) & ~F.exists("base", lambda b: (b.start < x.end) & (b.end > x.start)))
-    return materialize(found.withColumn("words", F.when(F.size("words") > 0, free).otherwise(F.col("words"))), "secrets")
+    return materialize(found.withColumn("words", F.when(F.size("words") > 0, free).otherwise(F.col("words"))), "secrets", wide=True)
 
 
 def ownership(scanned: DataFrame) -> DataFrame:

@@ -178,7 +178,7 @@ class ArchiveReader:
 
 def _roles(pages: DataFrame) -> DataFrame:
     """row, digest, bytes and, for revisits, refers_to of each page; pages has row, page_id and payload."""
-    digests = materialize(pages.select("row", "page_id", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest")), "payloads")
+    digests = materialize(pages.select("row", "page_id", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest")), "payloads", wide=True)
     able = digests.filter(F.col("bytes") >= LEAST)
     hits = Bloom(digests.count()).of_repeated(able, "digest").probe(able, F.col("digest"), "hit").filter("hit").drop("hit")
     first = F.min(F.struct(F.col("page_id").isNull(), "page_id", "row")).alias("first")
@@ -209,7 +209,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE)
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))], names=["path", "bytes", "records"])
 
     out = [x.mapInArrow(run, "path string, bytes long, records long") for x in (clear, maybe)]
-    return materialize(out[0].unionByName(out[1]), "manifest")
+    return materialize(out[0].unionByName(out[1]), "manifest", wide=True)
 
 
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
