@@ -57,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = materialize(docs, f"stage-{name}")
+            docs = materialize(docs, f"stage-{name}", wide=True)
     return docs
