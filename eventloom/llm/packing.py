@@ -120,19 +120,25 @@ class Plan:
                         break
 
     def _best_fit(self) -> None:
-        """By decreasing length into the open sequences with the smallest gap that holds it, whole groups at a time."""
+        """By decreasing length into the open sequences with the smallest gap that holds it, whole groups at a time. After a
+        piece the same sequence has the smallest such gap while it holds another, so that it takes all that it holds."""
         gaps: dict[int, list[tuple[list[int], int]]] = defaultdict(list)  # gap: groups of (lengths, how many sequences)
         for n in range(self.capacity, 0, -1):
             rest = int(self.left[n])
             self.left[n] = 0
-            for gap in sorted(g for g in gaps if g >= n):
+            for gap in sorted(g for g in gaps if g >= n) if rest else ():
+                each = gap // n
                 while rest and gaps[gap]:
                     lengths, k = gaps[gap].pop()
-                    m = min(k, rest)
-                    if m < k:
-                        gaps[gap].append((lengths, k - m))
-                    gaps[gap - n].append(([*lengths, n], m))
-                    rest -= m
+                    full = min(k, rest // each)
+                    more = rest - full * each if full < k else 0  # fewer than one sequence holds
+                    if full:
+                        gaps[gap - each * n].append(([*lengths, *[n] * each], full))
+                    if more:
+                        gaps[gap - more * n].append(([*lengths, *[n] * more], 1))
+                    if k > full + (more > 0):
+                        gaps[gap].append((lengths, k - full - (more > 0)))
+                    rest -= full * each + more
                 if not gaps[gap]:
                     del gaps[gap]
                 if not rest:

@@ -1,3 +1,4 @@
+import bisect
 import random
 import zlib
 
@@ -53,6 +54,45 @@ def test_plan_places_each_rank_once_without_overlap(seed):
     assert least <= len(used) <= 1.05 * len(decreasing) + 2
 
 
+class Residual(Plan):
+    """Best fit alone, without exact complements."""
+
+    def _exact(self):
+        pass
+
+
+def _gaps(plan, counts):
+    """The open space of each sequence."""
+    gap = {}
+    for n, k in counts.items():
+        for (first, seq, _), end in zip(plan.slots[n], [*[s[0] for s in plan.slots[n][1:]], k]):
+            for r in range(first, end):
+                gap[seq + r - first] = gap.get(seq + r - first, plan.capacity) - n
+    return sorted(gap.values())
+
+
+def _best_fit_decreasing(counts, capacity):
+    gaps = []
+    for n in sorted((n for n, k in counts.items() for _ in range(k)), reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        bisect.insort(gaps, (gaps.pop(at) if at < len(gaps) else capacity) - n)
+    return gaps
+
+
+_RESIDUALS = [({1500: 1, 100: 5}, 2048), ({1500: 1000, 100: 5000}, 2048), ({1500: 7, 100: 23, 48: 3}, 2048)]
+for _rng in map(random.Random, range(60)):
+    _RESIDUALS.append(({_rng.randrange(1, 65): _rng.randrange(1, 60) for _ in range(_rng.randrange(1, 20))}, 64))
+
+
+@pytest.mark.parametrize("counts, capacity", _RESIDUALS)
+def test_residual_is_best_fit_decreasing(counts, capacity):
+    assert _gaps(Residual(counts, capacity), counts) == _best_fit_decreasing(counts, capacity)
+
+
+def test_a_sequence_takes_all_pieces_that_it_holds():
+    assert Plan({1500: 1, 100: 5}).sequences == 1 and Plan({1500: 1000, 100: 5000}).sequences == 1000
+
+
 def test_pack_round_trip(spark):
     tok = load_tokenizer(PATH)
     rows = [(i, " ".join(f"w{j * i % 97}" for j in range(i * 13 % 900)), "x") for i in range(60)] + [(None, None, "y"), (7, "same", "z"), (7, "same", "z"), (99, "", None)]
