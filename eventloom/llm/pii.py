@@ -3,8 +3,8 @@
 Base entities (e-mail and IP addresses, card and phone numbers) are found in every whole text. They are the seeds: the two
 words before a mention are its lexical pattern, mentions of seeds and of other identifier-like words form a graph of
 patterns and instances, and Spark scores both sides in turn: a pattern by the mean score of its mentions' instances, an
-instance by that of its patterns, seeds being certain. Patterns that end with a high score on enough different seeds
-then discover identifiers that no base rule knows (kind ``ctx``). Base spans always stay.
+instance by that of its patterns, seeds being certain. Patterns that end with a high score on enough different seeds, or
+instances found in earlier rounds, then discover identifiers that no base rule knows (kind ``ctx``). Base spans always stay.
 
 Nulls and edge cases: null text is empty; rows stay apart even if repeated; ties in scores don't matter, as all patterns
 over the threshold count; empty tables give empty results; every scan is linear in the length of a text. Extra columns
@@ -130,19 +130,22 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def good_patterns(scanned: DataFrame, rounds: int = 3, seeds: int = 5, least: float = 0.6) -> DataFrame:
-    """The patterns (pattern, score) that end with at least this score and this many different seeds."""
+    """The patterns (pattern, score) that end with at least this score and this many different supports: seeds, and
+    instances that a pattern accepted in the round before has found."""
     m = scanned.select(F.explode("mentions").alias("m")).select("m.pattern", "m.instance", "m.seed")
     edges = m.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
     edges = materialize(edges, "edges")
-    # a pattern with too few seeds can't be accepted, so that it takes no part in the graph
-    able = materialize(edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds")).filter(F.col("seeds") >= seeds).select("pattern"), "able")
-    edges = materialize(edges.join(able, "pattern"), "graph")
-    scores = edges.select("instance", F.col("seed").cast("double").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
+    # the whole graph is scored: an instance's other patterns speak for or against it, accepted or not
+    instances = materialize(edges.groupBy("instance").agg(F.max("seed").alias("known")).select("instance", F.col("known").cast("double").alias("score"), "known"), "instances")
     patterns = None
-    for _ in range(rounds):
-        patterns = materialize(edges.join(scores, "instance").groupBy("pattern").agg((F.sum(F.col("score") * F.log1p("n")) / (F.sum(F.log1p("n")) + 0.5)).alias("score")), "patterns")
-        scores = materialize(edges.join(patterns, "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), (F.sum(F.col("score") * F.log1p("n")) / F.sum(F.log1p("n"))).alias("mean")).select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("mean")).alias("score")), "instances")
-    return patterns.filter(F.col("score") >= least)
+    for k in range(rounds):
+        score = F.sum(F.col("score") * F.log1p("n")) / (F.sum(F.log1p("n")) + 0.5)
+        scored = edges.join(instances, "instance").groupBy("pattern").agg(score.alias("score"), F.count_if("known").alias("supports"))
+        patterns = materialize(scored.select("pattern", "score", ((F.col("score") >= least) & (F.col("supports") >= seeds)).alias("good")), "patterns")
+        if k < rounds - 1:
+            means = edges.join(patterns, "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), F.max("good").alias("found"), (F.sum(F.col("score") * F.log1p("n")) / F.sum(F.log1p("n"))).alias("mean"))
+            instances = materialize(means.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("mean")).alias("score"), (F.col("seed") | F.col("found")).alias("known")), "instances")
+    return patterns.filter("good").select("pattern", "score")
 
 
 def discovered(scanned: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -62,6 +62,27 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert P.find(_corpus(spark).limit(0)).count() == 0
 
 
+def _found(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: [s.kind for s in r.spans] for r in P.find(rows).collect()}
+
+
+def test_found_identifiers_support_another_context(spark):
+    seeded = [f"please reach me at u{i}@mail.example now" for i in range(100)]
+    handles = [f"HANDLE-{1000 + i}" for i in range(12)]
+    texts = [*seeded, *(f"please reach me at {h} now" for h in handles for _ in range(8)), *(f"my secret badge {h} here" for h in handles), "my secret badge OTHER-77777 here"]
+    got = _found(spark, texts)
+    assert got[len(texts) - 1] == ["ctx"] and got[len(texts) - 2] == ["ctx"]
+
+
+def test_a_number_common_to_unseeded_contexts_is_no_evidence(spark):
+    seeds = [f"write back to u{i}@mail.example now" for i in range(5)]
+    common = [f"{n} pieces" for n in (10001, 10002, 10003, 10004)]
+    texts = [*seeds, *(f"write back to {c}" for c in common), *(f"plain {a}{b} word {c}" for a in "abcde" for b in "wxyz" for c in common)]
+    got = _found(spark, texts)
+    assert all(got[i] == ["email"] for i in range(5)) and not any(got[i] for i in range(5, len(texts)))
+
+
 def test_stage_redacts_and_keeps_columns(spark, tmp_path):
     _corpus(spark).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
