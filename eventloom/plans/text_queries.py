@@ -200,6 +200,19 @@ def shared_terms(t: Tables) -> DataFrame:
     return w.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", X.shared_term_count(F.col("w"), F.col("y")).cast("long").alias("n_shared"))
 
 
+# words of three letters or more are related just if they have three in a row in common
+@query("""
+WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(text, '[A-Za-z]{3,}')) AS w FROM conversations),
+g AS (SELECT conv_id, turn, w, list_distinct(flatten(list_transform(w, lambda a: list_transform(range(1, length(a) - 1), lambda i: substr(a, i, 3))))) AS g FROM t)
+SELECT a.conv_id, a.turn, len(list_filter(a.w, lambda x: list_has_any(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)), b.g))) AS n_shared FROM g AS a JOIN g AS b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+""")
+def shared_terms_whole(t: Tables) -> DataFrame:
+    """Neighbouring turns, all different terms of each."""
+    w = t.conversations.select("conv_id", "turn", F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w"))
+    nxt = w.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("y"))
+    return w.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", X.shared_term_count(F.col("w"), F.col("y")).cast("long").alias("n_shared"))
+
+
 @query(f"SELECT p_partkey, concat_ws(',', CASE WHEN length(p_name) BETWEEN 4 AND 40 AND {_key('p_name')} <> {_key('p_brand')} THEN {_key('p_name')} END, CASE WHEN length(p_type) BETWEEN 4 AND 40 AND p_partkey % 2 = 0 AND {_key('p_type')} <> {_key('p_name')} THEN {_key('p_type')} END) AS names FROM part")
 def quoted_names(t: Tables) -> DataFrame:
     text = F.concat(F.lit("a「"), "p_name", F.lit("」b『"), "p_type", F.when(F.col("p_partkey") % 2 == 0, "』c").otherwise("c"), F.lit(" 「"), "p_brand", F.lit("」"))
