@@ -355,6 +355,11 @@ def append_inbox(t: Tables) -> DataFrame:
     return I.append(t.events.filter("event_id % 2 = 0").select(F.col("event_id").alias("id"), "event_type"), t.pages.select(F.col("page_id").alias("id"), "url")).select("batch", "id")
 
 
+@query("SELECT 0 AS batch, event_id AS id FROM events UNION ALL SELECT 1, page_id FROM pages")
+def append_inbox_whole(t: Tables) -> DataFrame:
+    return I.append(t.events.select(F.col("event_id").alias("id"), "event_type"), t.pages.select(F.col("page_id").alias("id"), "url")).select("batch", "id")
+
+
 @query("SELECT event_id::VARCHAR AS doc_id, 'update' AS op, TRUE AS searched FROM events WHERE event_id % 3 = 1")
 def pending_gate(t: Tables) -> DataFrame:
     searched = F.when(F.col("event_id") % 3 == 0, True).when(F.col("event_id") % 3 == 1, False)
