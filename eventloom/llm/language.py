@@ -72,7 +72,8 @@ class Features:
         chunk = np.cumsum(codes == 10) - 1
         self.letters = np.bincount(chunk[letter], minlength=self.n)[: self.n]
         by = np.bincount(chunk[letter] * len(_NAMES) + script[letter], minlength=self.n * len(_NAMES))[: self.n * len(_NAMES)]
-        self.script = by.reshape(self.n, len(_NAMES)).argmax(axis=1)
+        self.by_script = by.reshape(self.n, len(_NAMES))
+        self.script = self.by_script.argmax(axis=1)
         c = np.where(letter, codes, 0).astype(np.uint64)
         self.parts = []  # for each length: the chunk and the bucket of each n-gram
         for size in (1, 2, 3, 4):
@@ -112,18 +113,22 @@ class Model:
         # the four lengths of n-grams overlap, so that each counts as a part only
         self.table[:, known] = (np.log((counts[known] + 0.1) / (counts.sum(axis=0) + 0.1 * known.sum())) / 3).T
         allowed = scripts > 0.001 * scripts.sum(axis=0)
+        self.learned, self.known = allowed.any(axis=1), known
         # a script that no language was seen with narrows nothing
         self.barred = np.where(allowed | ~allowed.any(axis=1, keepdims=True), 0, -60).astype(np.float32)
 
-    def score(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Letters, and log-scores for each language, of chunks without white space."""
+    def score(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Letters, those that may be of a learned language, and log-scores for each language, of chunks without white
+        space. Letters in a script that no language was seen with, or in a chunk without a known n-gram, are of none."""
         f = Features(chunks)
+        met = sum(np.bincount(owner, weights=self.known[bucket], minlength=f.n)[: f.n] for owner, bucket in f.parts) > 0
+        known = np.where(met, f.by_script[:, self.learned].sum(axis=1), 0)
         out = np.zeros((f.n, len(self.langs)), dtype=np.float32)
         for owner, bucket in f.parts:
             for k in range(len(self.langs)):
                 out[:, k] += np.bincount(owner, weights=self.table[k, bucket], minlength=f.n)[: f.n]
         out += self.barred[f.script]
-        return f.letters, out - out.max(axis=1, keepdims=True, initial=-np.inf) if self.langs else out
+        return f.letters, known, out - out.max(axis=1, keepdims=True, initial=-np.inf) if self.langs else out
 
 
 def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
@@ -175,22 +180,29 @@ class Labeller:
 
     def _clear(self) -> None:
         self.memo: dict[str, int] = {}
-        self.letters, self.scores = np.zeros(1, dtype=np.int64), np.zeros((1, len(self.model.langs)), dtype=np.float32)
+        self.letters, self.known, self.scores = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros((1, len(self.model.langs)), dtype=np.float32)
 
     def _learn(self, chunks: list[str]) -> None:
         """Row 0 stands for chunks without letters."""
         for at in range(0, len(chunks), 20_000):
             part = chunks[at : at + 20_000]
-            letters, scores = self.model.score(part)
+            letters, known, scores = self.model.score(part)
             some = letters > 0
             rows = np.where(some, len(self.letters) - 1 + np.cumsum(some), 0)
             self.memo.update(zip(part, rows.tolist(), strict=True))
-            self.letters, self.scores = np.concatenate([self.letters, letters[some]]), np.concatenate([self.scores, scores[some]])
+            self.letters, self.known, self.scores = np.concatenate([self.letters, letters[some]]), np.concatenate([self.known, known[some]]), np.concatenate([self.scores, scores[some]])
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """For each text: language, score, spans (start, end, language) in code points."""
+        return [x[:3] for x in self._label(texts)]
+
+    def shares(self, texts: list[str | None]) -> list[float]:
+        """For each text: the share of all its letters that the language with most of the known ones has."""
+        return [x[3] for x in self._label(texts)]
+
+    def _label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
         if not self.model.langs:
-            return [(UNKNOWN, 0.0, []) for _ in texts]
+            return [(UNKNOWN, 0.0, [], 0.0) for _ in texts]
         if len(self.memo) > self.most:
             self._clear()
         memo, chunked = self.memo, [(t or "").split() for t in texts]
@@ -201,11 +213,12 @@ class Labeller:
         out = []
         for t, r, w, path in zip(texts, rows, words, viterbi([table[w] for w in words], self.penalty), strict=True):
             if not len(w):
-                out.append((UNKNOWN, 0.0, []))
+                out.append((UNKNOWN, 0.0, [], 0.0))
                 continue
             per = np.bincount(path, weights=letters[w], minlength=len(self.model.langs))
             top = int(per.argmax())
-            out.append((self.model.langs[top], float(per[top] / per.sum()), self._spans(t, r, path)))
+            known = np.bincount(path, weights=self.known[w], minlength=len(self.model.langs))
+            out.append((self.model.langs[top], float(per[top] / per.sum()), self._spans(t, r, path), float(known.max() / per.sum())))
         return out
 
     def _spans(self, text: str, rows: np.ndarray, path: np.ndarray) -> list[tuple[int, int, str]]:
@@ -282,7 +295,8 @@ def label(docs: DataFrame, model: Model, penalty: float = 8.0) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.4, penalty: float = 8.0, memo_scores: int = MEMO_SCORES) -> DataFrame:
-    """The documents in a known language that has at least this share of their letters; columns are kept."""
+    """The documents in a known language that has at least this share of all their letters, those of no known language
+    among them; columns are kept."""
     model = train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,8 +304,8 @@ def keep_known(docs: DataFrame, least: float = 0.4, penalty: float = 8.0, memo_s
         for batch in batches:
             found = []
             for at in range(0, batch.num_rows, 512):
-                found += labeller.label(batch.column("text").slice(at, 512).to_pylist())
-            yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= least for x in found], pa.bool_()))
+                found += labeller.shares(batch.column("text").slice(at, 512).to_pylist())
+            yield batch.filter(pa.array([x > 0 and x >= least for x in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -47,3 +47,12 @@ def test_held_out_accuracy(spark):
     docs = read(spark, "/root/testdata/sf0.01", "documents")
     got = L.query(spark, "/root/testdata/sf0.01").filter("held_out").join(docs, "doc_id").filter("lang_pred <> 'und'").collect()
     assert len(got) > 100 and sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got)
+
+
+def test_stage_drops_what_no_learned_language_has(spark):
+    english, german = "the small ring was under the old house and they went home", "der kleine Ring war unter dem alten Haus und sie gingen heim"
+    rows = [(i, (english, german)[i % 2], ("en", "de")[i % 2]) for i in range(40)]
+    rows += [(100, "это текст на другом языке и его никто не учил", "ru?"), (101, english + " слово" * 4, None), (102, english + " словослово" * 20, None), (103, english, None)]
+    docs = spark.createDataFrame([(i, t, None if i >= 100 else c) for i, t, c in rows], "doc_id long, text string, lang string")
+    got = {r.doc_id for r in L.keep_known(docs).collect()}
+    assert got == {*range(40), 101, 103}
