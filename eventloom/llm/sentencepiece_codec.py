@@ -5,9 +5,8 @@ marker), its unigram model (scores) or byte-pair model (merges in the order of t
 decoder are rebuilt. Texts are cut where no piece of the vocabulary can reach across, so that equal parts are encoded once
 a worker, many at a time on several threads.
 
-Parity: each part that is encoded (a whole text, where a vocabulary allows no cuts) is encoded by the SentencePiece library
-too, without its dummy prefix, and every text's ids are decoded and held against the normalised text. ``parity`` is true if
-both agree. Tests hold whole texts against the SentencePiece library.
+Parity: each whole raw text is encoded by the SentencePiece library too, and every text's ids are decoded and held against
+the normalised text. ``parity`` is true if both agree.
 
 Nulls and edge cases: null and empty texts have no ids; control pieces in a text are plain characters; repeated rows are
 encoded each; empty tables give empty results; texts of any length are encoded whole. Extra columns are left alone.
@@ -132,7 +131,7 @@ class Codec:
         self.model = ModelFile(data)
         self.normalizer, self.tok, self.most = normalizer(self.model), build(self.model), most
         self.memo: dict[str, bytes] = {}
-        self.wrong: set[str] = set()  # parts that the SentencePiece library encodes otherwise
+        self.wrong = 0  # how many texts the SentencePiece library has encoded otherwise
         self.peer = None
         long = [p for p, _, kind in self.model.pieces if kind in (NORMAL, USER) and len(p) > 1]
         # a piece with a marker after another character could reach across words
@@ -151,36 +150,36 @@ class Codec:
         return self.normalizer.normalize_str(text) if text else ""
 
     def verify_with(self, data: bytes) -> None:
-        """From now on the SentencePiece library encodes each new part, too."""
+        """From now on the SentencePiece library encodes each text, too."""
         import sentencepiece
 
-        # a repeated message field is merged: no dummy prefix and no white-space rules, as parts are normalised already
-        self.peer = sentencepiece.SentencePieceProcessor(model_proto=data + b"\x1a\x04\x18\x00\x20\x00" if self.cuts else data)
+        self.peer = sentencepiece.SentencePieceProcessor(model_proto=data)
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bool]]:
-        """Little-endian unsigned 32-bit ids of each text; whether the SentencePiece library agrees."""
+        """Little-endian unsigned 32-bit ids of each text; whether the SentencePiece library agrees on the raw text."""
         texts = [t or "" for t in texts]
-        whole = [self.normalize(t) for t in texts]
+        out = self._ids([self.normalize(t) for t in texts])
+        if self.peer is None:
+            return out, [True] * len(out)
+        agree = [a == np.array(b, dtype="<u4").tobytes() for a, b in zip(out, self.peer.encode(texts, num_threads=1), strict=True)]
+        self.wrong += agree.count(False)
+        return out, agree
+
+    def _ids(self, whole: list[str]) -> list[bytes]:
         if not self.cuts:
-            out = self._encode(whole)
-            return out, [True] * len(out) if self.peer is None else [a == np.array(b, dtype="<u4").tobytes() for a, b in zip(out, self.peer.encode(texts, num_threads=1), strict=True)]
+            return self._encode(whole)
         if len(self.memo) > self.most:
             self.memo.clear()
-            self.wrong.clear()
         memo, cut, extra = self.memo, [self.parts.findall(t) for t in whole], {}
         new = list(set().union(*cut).difference(memo))
-        ids = self._encode(new)
-        for p, i in zip(new, ids, strict=True):
+        for p, i in zip(new, self._encode(new), strict=True):
             (memo if len(p) <= _LONG else extra)[p] = i
-        if self.peer is not None:
-            self.wrong.update(p for p, i, j in zip(new, ids, self.peer.encode(new, num_threads=1), strict=True) if i != np.array(j, dtype="<u4").tobytes())
-        agree = [True] * len(cut) if not self.wrong else [self.wrong.isdisjoint(ps) for ps in cut]
         if extra:
-            return [b"".join([memo[p] if p in memo else extra[p] for p in ps]) for ps in cut], agree
-        return [b"".join(map(memo.__getitem__, ps)) for ps in cut], agree
+            return [b"".join([memo[p] if p in memo else extra[p] for p in ps]) for ps in cut]
+        return [b"".join(map(memo.__getitem__, ps)) for ps in cut]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)

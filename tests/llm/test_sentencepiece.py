@@ -80,3 +80,18 @@ def test_whole_table_parity_and_edges(spark):
     odd = spark.createDataFrame([(1, None, 2), (None, "", 3), (2, "a b", 4), (2, "a b", 4)], "doc_id long, text string, ids int")
     out = S.encode(odd, PATH).collect()
     assert len(out) == 4 and all(r.parity for r in out) and S.encode(odd.limit(0), PATH).count() == 0
+
+
+def test_parity_sees_a_wrong_white_space_rule():
+    import public_tokenizers
+
+    from eventloom.llm.sentencepiece_codec import Codec
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        data = f.read()
+    codec = Codec(data)
+    codec.verify_with(data)
+    assert codec.encode(["the small  ring", "", None])[1] == [True] * 3
+    right = codec.normalize
+    codec.normalize = lambda t: right(t.replace(" r", "r"))
+    assert codec.encode(["the small ring", "small"])[1] == [False, True]
