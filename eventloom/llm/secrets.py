@@ -14,6 +14,8 @@ alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,34 @@ TOKEN = r"[A-Za-z0-9+/_-]{24,}"
 KINDS = ["assign", "access", "hex", "token"]
 
 
+_SPANS = "array<struct<start: int, kind: int, end: int, value: string>>"
+
+
+def _running(items: Column, state: Column, out: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What ``step`` (state, item) -> (state, result) gives for each of the items (one or more), in order; results are an
+    array of the type ``out``.
+
+    The built-in fold copies what it has collected at each step. Items are therefore folded in blocks of about the square
+    root of their number, so that only references within a block, and then to blocks, are copied.
+    """
+
+    def whole(z: Column) -> Column:
+        size, empty = F.ceil(F.sqrt(F.size(z))).cast("int"), F.array().cast(out)
+
+        def add(acc: Column, x: Column) -> Column:
+            after, result = step(acc.state, x)
+            return F.struct(after.alias("state"), F.concat(acc.out, F.array(result)).alias("out"))
+
+        def block(acc: Column, k: Column) -> Column:
+            before = F.struct(F.element_at(acc, -1)["state"].alias("state"), empty.alias("out"))
+            return F.concat(acc, F.array(F.aggregate(F.slice(z, k + 1, size), before, add)))
+
+        first = F.array(F.struct(state.alias("state"), empty.alias("out")))
+        return F.flatten(F.transform(F.aggregate(F.sequence(F.lit(0), F.size(z) - 1, size), first, block), lambda b: b.out))
+
+    return F.get(F.transform(F.array(items), whole), 0)  # as a variable, the items are made once
+
+
 def _found(pattern: str, kind: int, value_group: int = 0) -> Column:
     """array<struct<start, kind, end, value>> of the matches in ``text``, in code points.
 
@@ -38,17 +68,29 @@ def _found(pattern: str, kind: int, value_group: int = 0) -> Column:
     """
     hits, gaps = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1)
     values = F.regexp_extract_all("text", F.lit(pattern), F.lit(value_group))
-    empty = F.array().cast("array<struct<start: int, kind: int, end: int, value: string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc.at + F.char_length(x.gap)
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + F.char_length(x.gap)
         end = begin + F.char_length(x.hit)
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x.value.alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc.spans, F.array(span)).alias("spans"))
+        return end, F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x.value.alias("value"))
 
     zipped = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value")), lambda x: x.hit.isNotNull())
-    return F.when(F.col("text").rlike(pattern), F.aggregate(zipped, start, add, lambda acc: acc.spans)).otherwise(empty)
+    return F.when(F.col("text").rlike(pattern), _running(zipped, F.lit(0), _SPANS, step)).otherwise(F.array().cast(_SPANS))
+
+
+def _free(words: Column, base: Column) -> Column:
+    """The words (which don't overlap each other) that overlap no base span. In order of start, a word overlaps one before it
+    if the furthest end so far is behind its start, and one after it only if the next in order is one that starts inside."""
+
+    def step(furthest: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(x.kind < 4, F.greatest(furthest, x.end)).otherwise(furthest), furthest
+
+    def whole(z: Column) -> Column:
+        pairs = F.arrays_zip(z.alias("x"), _running(z, F.lit(0), "array<int>", step).alias("furthest"), F.slice(z, F.lit(2), F.size(z)).alias("next"))
+        free = F.filter(pairs, lambda p: (p.x.kind == 4) & (p.furthest <= p.x.start) & ~F.coalesce((p.next.kind < 4) & (p.next.start < p.x.end), F.lit(False)))
+        return F.transform(free, lambda p: p.x)
+
+    return F.get(F.transform(F.array(F.array_sort(F.concat(base, words))), whole), 0)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -56,13 +98,13 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     assign = F.filter(_found(ASSIGN, 1, 2), lambda x: F.char_length(x.value) >= 12)
     base = F.array_sort(F.concat(assign, _found(ACCESS, 2), _found(HEX, 3)))
-    found = rows.select("row", "doc_id", "source", base.alias("base"), _found(TOKEN, 4).alias("words"))
 
     def mixed(x: Column) -> Column:
         return x.value.rlike("[0-9]") & x.value.rlike("[A-Z]") & x.value.rlike("[a-z]")
 
-    free = F.filter("words", lambda x: mixed(x) & ~F.exists("base", lambda b: (b.start < x.end) & (b.end > x.start)))
-    return materialize(found.withColumn("words", F.when(F.size("words") > 0, free).otherwise(F.col("words"))), "secrets", wide=True)
+    found = rows.select("row", "doc_id", "source", base.alias("base"), F.filter(_found(TOKEN, 4), mixed).alias("words"))
+    both = (F.size("words") > 0) & (F.size("base") > 0)
+    return materialize(found.withColumn("words", F.when(both, _free(F.col("words"), F.col("base"))).otherwise(F.col("words"))), "secrets", wide=True)
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -82,8 +124,7 @@ def find(docs: DataFrame) -> DataFrame:
     scanned = scan(docs)
     owned = ownership(scanned)
     some = F.size("base") + F.size("words") > 0
-    kind = "array<struct<start: int, kind: int, end: int, value: string>>"
-    empty = F.array().cast(kind)
+    empty = F.array().cast(_SPANS)
     none = scanned.filter(~some).select("doc_id", "base", F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"))
     each = materialize(scanned.filter(some).select("row", F.explode(F.concat("base", "words")).alias("x")).select("row", "x", _digest(F.col("x.value")).alias("digest")), "candidates")
     judged = each.join(owned, "digest").withColumn("live", F.col("owners") < WIDE)

@@ -34,3 +34,19 @@ def test_ownership_parts_examples_from_live_values(spark):
     owned = {(r.repositories, r.owners) for r in S.ownership(S.scan(df)).collect()}
     assert (2, 1) in owned and (6, 6) in owned
     assert S.find(df.limit(0)).count() == 0
+
+
+def test_words_free_of_base_spans_equal_the_plain_rule(spark):
+    rng = random.Random(4)
+    parts = ["qZ7" * 9, "token=" + "aB3" * 8, "AKIA" + "A" * 20, "0a" * 12, " ", "x", "/", "=", "password: ", "é"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(12))), "a/b") for i in range(600)]
+    for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        base = plain(rows[r.doc_id][1])
+        words = [m for m in re.finditer("[A-Za-z0-9+/_-]{24,}", rows[r.doc_id][1]) if all(re.search(c, m.group()) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+        assert [(w.start, w.end, w.value) for w in r.words] == [(*m.span(), m.group()) for m in words if not any(a < m.end() and b > m.start() for a, _, b in base)]
+
+
+def test_a_hundred_thousand_matches_in_one_text(spark):
+    text = ("token=abcdefghijklmnop " + "qZ7" * 10 + " ") * 50_000
+    r = S.find(spark.createDataFrame([(1, text, "a/b")], "doc_id long, text string, source string")).collect()[0]
+    assert len(r.base) == 50_000 and len(r.spans) == 100_000 and (r.base[-1].start, r.base[-1].end) == (54 * 49_999, 54 * 49_999 + 22)
