@@ -3,7 +3,8 @@
 Each document is encoded whole, ended by id 0 and cut only if it is longer than a sequence. The plan is made from the
 histogram of piece lengths alone (at most ``capacity`` entries, whatever the number of rows): for each length, largest
 first, the gap that it leaves is looked up among single lengths, pair sums and triple sums, and combinations that fill it
-exactly are consumed under the counts that are left; what remains is packed best-fit by decreasing length. A piece's rank
+exactly are consumed under the counts that are left; what remains is packed best-fit by decreasing length. Plans that look
+for triples, pairs, single pieces or nothing first are compared, as the plan costs little. A piece's rank
 among those of its length then names its slot, so that no task ever holds all pieces of a length.
 
 Nulls and edge cases: a null text is empty and still has its closing id; empty tables give empty results; repeated rows are
@@ -59,10 +60,13 @@ def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, mem
 
 
 class Plan:
-    """Which slots the pieces of each length get. ``slots[n]``: (first rank, first sequence, offset) in order of rank."""
+    """Which slots the pieces of each length get. ``slots[n]``: (first rank, first sequence, offset) in order of rank.
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY):
-        self.capacity, self.sequences = capacity, 0
+    parts: complements of so many pieces are looked for at most; even: pairs of pieces near in length come first.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, parts: int = 3, even: bool = False):
+        self.capacity, self.sequences, self.parts, self.even = capacity, 0, parts, even
         self.left = np.zeros(capacity + 1, dtype=np.int64)
         for n, k in counts.items():
             self.left[n] = k
@@ -92,9 +96,10 @@ class Plan:
         return times
 
     def _pairs(self, total: int) -> np.ndarray:
-        """The smaller parts of pairs of lengths that are left and sum to total; the most even last."""
+        """The smaller parts of pairs of lengths that are left and sum to total."""
         small = np.arange(1, total // 2 + 1)
-        return small[(self.left[small] > 0) & (self.left[total - small] > 0)]
+        found = small[(self.left[small] > 0) & (self.left[total - small] > 0)]
+        return found[::-1] if self.even else found
 
     def _exact(self) -> None:
         cap, left = self.capacity, self.left
@@ -102,14 +107,14 @@ class Plan:
             self._take([cap])
         for n in range(cap - 1, 0, -1):
             gap = cap - n
-            if not left[n]:
+            if not left[n] or self.parts < 1:
                 continue
             self._take([n, gap])
-            for small in self._pairs(gap) if left[n] else ():
+            for small in self._pairs(gap) if left[n] and self.parts > 1 else ():
                 self._take([n, int(gap - small), int(small)])
                 if not left[n]:
                     break
-            if not left[n]:
+            if not left[n] or self.parts < 3:
                 continue
             for large in np.nonzero(left[:gap])[0][::-1]:
                 if not left[n] or 3 * large < gap:
@@ -153,12 +158,25 @@ class Plan:
                 self._emit(lengths, k)
 
 
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """The plan with the fewest sequences. Triples that fill a gap may use up short pieces that would have filled others, so
+    that looking for pairs or single pieces only, or for none before best fit, may need fewer; the deepest one wins ties."""
+    best = None
+    for parts, even in ((3, False), (3, True), (2, False), (2, True), (1, False), (0, False)):
+        plan = Plan(counts, capacity, parts, even)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences * capacity - sum(n * k for n, k in counts.items()) < capacity:
+            break  # no plan needs fewer
+    return best
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, memo_words: int = 400_000) -> DataFrame:
     """A row for each piece with its sequence_id and offset."""
     pieces = materialize(encode_pieces(docs, tokenizer, capacity, memo_words), "pieces", wide=True)
     tallies = materialize(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "tallies")
     # at most `capacity` rows come to the driver
-    plan = Plan({r["length"]: r["n"] for r in tallies.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
+    plan = best_plan({r["length"]: r["n"] for r in tallies.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     before = tallies.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     ranked = pieces.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     # the plan's size depends on the capacity, not on the number of rows

@@ -1,12 +1,13 @@
 import bisect
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from eventloom.llm.packing import Plan, pack
+from eventloom.llm.packing import Plan, best_plan, pack, query
 from eventloom.llm.wordmemo import Memo, load_tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -31,7 +32,7 @@ def test_memo_equals_whole_texts():
 def test_plan_places_each_rank_once_without_overlap(seed):
     rng = random.Random(seed)
     counts = {rng.randrange(1, 65): rng.randrange(1, 200) for _ in range(rng.randrange(1, 40))}
-    plan = Plan(counts, 64)
+    plan = best_plan(counts, 64)
     used = {}
     for n, k in counts.items():
         slots = plan.slots[n]
@@ -44,21 +45,35 @@ def test_plan_places_each_rank_once_without_overlap(seed):
         assert [o for o, _ in spans] == [sum(n for _, n in spans[:i]) for i in range(len(spans))]
         assert sum(n for _, n in spans) <= 64
     assert sum(map(len, used.values())) == sum(counts.values())
-    least = -(-sum(n * k for n, k in counts.items()) // 64)
-    decreasing = []
-    for n in sorted((n for n, k in counts.items() for _ in range(k)), reverse=True):
-        fit = [g for g in decreasing if g >= n]
-        if fit:
-            decreasing.remove(min(fit))
-        decreasing.append((min(fit) if fit else 64) - n)
-    assert least <= len(used) <= 1.05 * len(decreasing) + 2
+    assert len(used) == plan.sequences
 
 
-class Residual(Plan):
-    """Best fit alone, without exact complements."""
+def test_never_more_sequences_than_best_fit_decreasing():
+    for seed in range(500):
+        rng = random.Random(seed)
+        cap = rng.choice((64, 64, 256, 2048))
+        counts = {rng.randrange(1, cap + 1): rng.randrange(1, rng.choice((4, 60))) for _ in range(rng.randrange(1, 30))}
+        least = -(-sum(n * k for n, k in counts.items()) // cap)
+        assert least <= best_plan(counts, cap).sequences <= len(_best_fit_decreasing(counts, cap))
+
+
+def test_query_needs_no_more_than_best_fit_decreasing(spark):
+    rows = query(spark, "/root/testdata/sf0.01").select("length", "sequence_id").collect()
+    assert len({r.sequence_id for r in rows}) <= len(_best_fit_decreasing(Counter(r.length for r in rows), 2048))
+
 
-    def _exact(self):
-        pass
+def test_a_very_long_text(spark):
+    tok = load_tokenizer(PATH)
+    text = " ".join(f"w{i % 5003}" for i in range(300_000))
+    got = sorted(pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).collect(), key=lambda r: r.piece)
+    ids = [*tok.encode(text, add_special_tokens=False).ids, 0]
+    assert [(r.start, r.length, r.ids_crc32) for r in got] == [(s, len(c := ids[s : s + 2048]), zlib.crc32(np.array(c, dtype="<u4").tobytes())) for s in range(0, len(ids), 2048)]
+    assert len({r.sequence_id for r in got}) == len(got)
+
+
+def residual(counts, capacity):
+    """Best fit alone, without exact complements."""
+    return Plan(counts, capacity, parts=0)
 
 
 def _gaps(plan, counts):
@@ -86,7 +101,7 @@ for _rng in map(random.Random, range(60)):
 
 @pytest.mark.parametrize("counts, capacity", _RESIDUALS)
 def test_residual_is_best_fit_decreasing(counts, capacity):
-    assert _gaps(Residual(counts, capacity), counts) == _best_fit_decreasing(counts, capacity)
+    assert _gaps(residual(counts, capacity), counts) == _best_fit_decreasing(counts, capacity)
 
 
 def test_a_sequence_takes_all_pieces_that_it_holds():
@@ -108,7 +123,7 @@ def test_pack_round_trip(spark):
     for spans in by.values():
         spans.sort()
         assert [o for o, _ in spans] == [sum(n for _, n in spans[:i]) for i in range(len(spans))] and sum(n for _, n in spans) <= 2048
-    assert len(by) <= 1.1 * sum(r.length for r in got) / 2048 + 1
+    assert len(by) <= len(_best_fit_decreasing(Counter(r.length for r in got), 2048))
 
 
 def test_pack_of_nothing(spark):
