@@ -5,8 +5,9 @@ two or more rows share; pass two tests each row against them. Rows that are sure
 possibly repeated ones are shuffled, and there the full SHA-256 decides, so that false hits cost time but never change
 the result.
 
-Nulls and ties: a null text counts as empty; a null doc_id comes after every other one; of equal rows (also repeated ones
-with the same doc_id) one stays. An empty table gives an empty result. Extra columns are left alone.
+Nulls and ties: a null text counts as empty; a null doc_id comes after every other one; of rows with the same text, length
+and doc_id that which comes first in its file stays (of several files, that whose path has the smaller hash). An empty
+table gives an empty result. Extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Bloom, fresh, read, strip_blanks
+from eventloom.llm.common import Bloom, located, place, read, strip_blanks
 from eventloom.shared import materialize
 
 
@@ -25,13 +26,13 @@ def _digests(docs: DataFrame) -> DataFrame:
 def decide(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
     digests = materialize(_digests(docs), "digests", wide=True)
-    bloom = Bloom(digests.count()).of_repeated(digests, "text_sha256")
+    bloom = Bloom.of_repeated(digests, "text_sha256")
     probed = bloom.probe(digests, F.col("text_sha256"), "hit")
     single = probed.filter(~F.col("hit")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
 
     hits = materialize(probed.filter("hit").drop("hit"), "hits")
-    best = F.max(F.struct("n", (-F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).alias("first"), (-F.col("row")).alias("first_row"), "doc_id"))
-    groups = materialize(hits.groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select("text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.first_row")).alias("keep_row")), "groups")
+    best = F.min(F.struct((-F.col("n")).alias("size"), F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    groups = materialize(hits.groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select("text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row")), "groups")
     # both sides come from files, so that a group with a third of all rows can be split by the engine
     joined = hits.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
     return single.unionByName(joined)
@@ -40,14 +41,13 @@ def decide(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns. Possibly repeated rows are combined before the shuffle, so that a
     group sends one row a task, and rows that are surely unique aren't shuffled at all."""
-    sha, size, hit, best = fresh(docs, "sha", "size", "hit", "best")
-    digests = materialize(docs.select(F.sha2(strip_blanks(F.col("text")), 256).alias("text_sha256")), "digests", wide=True)
-    bloom = Bloom(digests.count()).of_repeated(digests, "text_sha256")
-    named = docs.withColumns({sha: F.sha2(strip_blanks(F.col("text")), 256), size: F.coalesce(F.char_length("text"), F.lit(0))})
-    probed = bloom.probe(named, F.col(sha), hit)
-    order = F.struct(size, (-F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))))
-    rows = probed.filter(F.col(hit)).groupBy(sha).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias(best))
-    return probed.filter(~F.col(hit)).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(rows.select(f"{best}.*"))
+    rows, text, doc_id = located(docs), place(docs, "text"), place(docs, "doc_id")
+    cols = rows.columns[:-1]
+    rows = rows.withColumn("sha", F.sha2(strip_blanks(F.col(text)), 256))
+    probed = Bloom.of_repeated(materialize(rows.select("sha"), "digests", wide=True), "sha").probe(rows, F.col("sha"), "hit")
+    order = F.struct(-F.coalesce(F.char_length(text), F.lit(0)), F.col(doc_id).isNull(), doc_id, "at")
+    best = probed.filter("hit").groupBy("sha").agg(F.min_by(F.struct(*cols), order).alias("best"))
+    return probed.filter("NOT hit").select(*cols).unionByName(best.select("best.*")).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import read, small_batches, worker_cache
+from eventloom.llm.common import by_place, place, read, small_batches, worker_cache
 
 # First and last code point of script ranges.
 SCRIPTS = [
@@ -248,7 +248,8 @@ def labeller_of(model: Model, penalty: float, memo_scores: int = MEMO_SCORES) ->
     return worker_cache(("language", model.name, penalty), lambda: Labeller(model, penalty, memo_scores))
 
 
-def train(docs: DataFrame, per_language: int = 2000) -> Model:
+def train(docs: DataFrame, per_language: int = 2000, least_count: int = 2) -> Model:
+    """least_count: how often a language's n-gram bucket occurs in the sample at least to be in the model."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").filter(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
@@ -274,7 +275,7 @@ def train(docs: DataFrame, per_language: int = 2000) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(keys) + len(numbers)), pa.string()), pa.array(np.concatenate([keys, -1 - numbers]), pa.int64()), pa.array(np.concatenate([counts[keys], scripts[numbers]]).astype(np.int64))], names=["lang", "key", "n"])
 
     # at most BUCKETS rows a language come to the driver
-    tallied = sample.select("text", "lang").mapInArrow(tally, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).filter("n > 1 OR key < 0")
+    tallied = sample.select("text", "lang").mapInArrow(tally, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).filter((F.col("n") >= least_count) | (F.col("key") < 0))
     return Model([tuple(r) for r in tallied.collect()])
 
 
@@ -297,17 +298,18 @@ def label(docs: DataFrame, model: Model, penalty: float = 8.0) -> DataFrame:
 def keep_known(docs: DataFrame, least: float = 0.4, penalty: float = 8.0, memo_scores: int = MEMO_SCORES) -> DataFrame:
     """The documents in a known language that has at least this share of all their letters, those of no known language
     among them; columns are kept."""
-    model = train(docs)
+    model, text = train(docs), place(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = labeller_of(model, penalty, memo_scores)
         for batch in batches:
             found = []
             for at in range(0, batch.num_rows, 512):
-                found += labeller.shares(batch.column("text").slice(at, 512).to_pylist())
+                found += labeller.shares(batch.column(text).slice(at, 512).to_pylist())
             yield batch.filter(pa.array([x > 0 and x >= least for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = by_place(docs)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

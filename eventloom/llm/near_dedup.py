@@ -17,7 +17,7 @@ than 26 of 64 draws fall in the intersection, with a probability of about 1e-9,
 
 Nulls and edge cases: a text that is null or has no words has an empty set and is linked with nothing; with fewer than five
 words the whole sequence is the one shingle; repeated rows are in one class; a null doc_id counts as larger than any
-other; an empty table gives an empty result. Extra columns are left alone.
+other; an empty table gives an empty result. Extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Bloom, fresh, keep_absent, keep_present, read, small_batches
+from eventloom.llm.common import Bloom, keep_absent, keep_present, located, place, read, small_batches
 from eventloom.operators.graph import components
 from eventloom.shared import materialize
 
@@ -68,7 +68,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary()), _lists([s[:K] for s in sets])], names=["doc_id", "row", "n", "sig", "sketch"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "at", "row")), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary()), _lists([s[:K] for s in sets])], names=["doc_id", "at", "row", "n", "sig", "sketch"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,15 +191,24 @@ def _reach() -> Column:
 
 
 def group(docs: DataFrame) -> DataFrame:
-    """A row for each document: row (its number in this reading), doc_id, n, group (one number a component),
-    component_id."""
-    small_batches(docs.sparkSession)
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
-    base = materialize(numbered.mapInArrow(_sketches, "doc_id long, row long, n long, sig binary, sketch array<long>"), "sketches", wide=True)
-    rows = base.count()
+    """A row for each document: row (its number), doc_id, n, group (one number a component), component_id."""
+    return _group(_texts(docs, located(docs)))[0]
+
+
+def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    return rows.select(F.col(place(docs, "doc_id")).cast("long").alias("doc_id"), F.col(place(docs, "text")).alias("text"), "at")
+
+
+def _group(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """group() of texts (doc_id, text, at), and where each row is (row, at). Numbers are given once, in the table of sketches;
+    later readings find a text by ``at``."""
+    small_batches(texts.sparkSession)
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    kind = texts.schema["at"].dataType.simpleString()
+    base = materialize(numbered.mapInArrow(_sketches, f"doc_id long, at {kind}, row long, n long, sig binary, sketch array<long>"), "sketches", wide=True)
 
     # 1. classes of equal sets
-    probed = Bloom(rows).of_repeated(base.filter("n > 0"), "sig").probe(base.filter("n > 0"), F.col("sig"), "hit")
+    probed = Bloom.of_repeated(base.filter("n > 0"), "sig").probe(base.filter("n > 0"), F.col("sig"), "hit")
     groups = materialize(probed.filter("hit").groupBy("sig").agg(F.min("row").alias("rep"), F.min("doc_id").alias("low")), "classes")
     members = materialize(
         base.filter("n = 0").select("row", "doc_id", "n", F.col("row").alias("rep"), F.col("doc_id").alias("low"))
@@ -230,9 +239,9 @@ def group(docs: DataFrame) -> DataFrame:
 
     # 4. estimate, then full sets of the texts in pairs
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowded.select("rep")).distinct()
-    wanted = materialize(base.select(F.col("row").alias("rep"), "sig").join(wanted, "rep"), "wanted")
-    texts = keep_present(numbered.select(F.col("row").alias("rep"), "text"), "rep", wanted, wanted.count())
-    sets = materialize(texts.mapInArrow(_full_sets, "rep long, n long, sketch binary, full binary"), "sets", wide=True)
+    wanted = materialize(base.select(F.col("row").alias("rep"), "at", "sig").join(wanted, "rep"), "wanted")
+    met = keep_present(texts.select("at", "text"), "at", wanted, wanted.count()).select("rep", "sig", "text")
+    sets = materialize(met.mapInArrow(_full_sets, "rep long, n long, sketch binary, full binary"), "sets", wide=True)
     links = _links(pairs, sets)
     labels = components(links)
     if not crowded.isEmpty():
@@ -243,17 +252,21 @@ def group(docs: DataFrame) -> DataFrame:
     named = materialize(named, "named")
     joined = labels.select(F.col("label").alias("group")).distinct()
     lowest = materialize(named.join(joined, "group").groupBy("group").agg(F.min("low").alias("component_id")), "lowest")
-    return named.join(lowest, "group", "left").select("row", "doc_id", "n", "group", F.coalesce("component_id", "low").alias("component_id"))
+    out = named.join(lowest, "group", "left").select("row", "doc_id", "n", "group", F.coalesce("component_id", "low").alias("component_id"))
+    return out, base.select("row", "at")
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id; columns are kept, and only rows that may have to go
-    are shuffled. docs must read the same twice (a table does)."""
-    (row,) = fresh(docs, "row")
-    named = materialize(group(docs).select("row", "group", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("place")), "placed")
+    are shuffled."""
+    rows = located(docs)
+    grouped, places = _group(_texts(docs, rows))
+    named = materialize(grouped.select("row", "group", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("place")), "placed")
     first = materialize(named.groupBy("group").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "firsts")
-    gone = materialize(named.join(first, "group").filter("place.row <> first.row").select(F.col("row").alias(row)), "gone")
-    return keep_absent(docs.withColumn(row, F.monotonically_increasing_id()), row, gone, gone.count()).drop(row)
+    gone = materialize(named.join(first, "group").filter("place.row <> first.row").select("row"), "gone")
+    count = gone.count()
+    gone = materialize(keep_present(places, "row", gone, count).select("at"), "gone")
+    return keep_absent(rows, "at", gone, count).drop("at").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ instance by that of its patterns, seeds being certain. Patterns that end with a
 instances found in earlier rounds, then discover identifiers that no base rule knows (kind ``ctx``). Base spans always stay.
 
 Nulls and edge cases: null text is empty; rows stay apart even if repeated; ties in scores don't matter, as all patterns
-over the threshold count; empty tables give empty results; every scan is linear in the length of a text. Extra columns
-are left alone.
+over the threshold count; empty tables give empty results; every scan is linear in the length of a text, as a mention's
+context is the ``CONTEXT`` characters before it and unknown identifiers have the length ``WORD``. Extra columns are left
+alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Bloom, fresh, read, small_batches
+from eventloom.llm.common import Bloom, located, place, read, small_batches
 from eventloom.shared import materialize
 
 KINDS = ["email", "ip", "card", "phone"]
+#: What an identifier and its context may be: characters before a mention, characters of an unknown identifier.
+CONTEXT, WORD = 80, (5, 64)
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -66,7 +69,7 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
         for k in range(0, len(parts) - 3, 4):
             four = parts[k : k + 4]
             size = sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in four):
                 yield at, at + size
             at += size + 1
 
@@ -88,13 +91,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _pattern(text: str, start: int) -> str:
-    """The two words before a mention: lower case, digits as 0, other characters gone."""
-    words = text[max(0, start - 80) : start].lower().split()[-2:]
-    return " ".join(_ODD.sub("", re.sub("[0-9]", "0", w)) for w in words).strip()
+    """The two words before a mention: lower case, digits as 0, other characters gone. A word that doesn't lie whole within
+    the ``CONTEXT`` characters before the mention doesn't count."""
+    at = max(0, start - CONTEXT)
+    words = text[at:start].lower().split()
+    if at and words and not text[at - 1].isspace() and not text[at].isspace():
+        del words[0]
+    return " ".join(_ODD.sub("", re.sub("[0-9]", "0", w)) for w in words[-2:]).strip()
 
 
 def mentions(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int, bool]]:
-    """(start, end, pattern, instance, seed): the base spans, and other words with three digits or more."""
+    """(start, end, pattern, instance, seed): the base spans, and other words of ``WORD`` characters with three digits or
+    more."""
     out = [(a, b, _pattern(text, a), xxhash.xxh3_64_intdigest(text[a:b].encode()) >> 1, True) for a, b, _ in base]
     if _DIGIT.search(text):
         k = 0
@@ -104,7 +112,8 @@ def mentions(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int
             b = m.end() - len(word) + len(word.rstrip(_EDGE))
             while k < len(base) and base[k][1] <= a:
                 k += 1
-            if 5 <= b - a <= 64 and len(_DIGIT.findall(text[a:b])) >= 3 and not any(x < b and y > a for x, y, _ in base[k : k + 8]):
+            # base[k] is the first that ends after a, and those behind it don't start before it
+            if WORD[0] <= b - a <= WORD[1] and len(_DIGIT.findall(text[a:b])) >= 3 and not (k < len(base) and base[k][0] < b):
                 out.append((a, b, _pattern(text, a), xxhash.xxh3_64_intdigest(text[a:b].encode()) >> 1, False))
     return [x for x in out if x[2]]
 
@@ -122,11 +131,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([[{"start": a, "end": b, "kind": c} for a, b, c in x] for x in base], _SPANS), pa.array(found, _MENTIONS)], names=["row", "doc_id", "base", "mentions"])
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base spans and mentions of each document, written to the shared folder."""
+def scan(docs: DataFrame, at: str | None = None) -> DataFrame:
+    """row, doc_id, base spans and mentions of each document, written to the shared folder. row is the column ``at`` if one
+    is named, else a number that holds in this table only."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(rows.mapInArrow(_scan, f"row long, doc_id long, base {_SPAN_DDL}, mentions array<struct<start: long, end: long, pattern: string, instance: long, seed: boolean>>"), "scan", wide=True)
+    rows = docs.select((F.col(at) if at else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kind = rows.schema["row"].dataType.simpleString()
+    return materialize(rows.mapInArrow(_scan, f"row {kind}, doc_id long, base {_SPAN_DDL}, mentions array<struct<start: long, end: long, pattern: string, instance: long, seed: boolean>>"), "scan", wide=True)
 
 
 def good_patterns(scanned: DataFrame, rounds: int = 3, seeds: int = 5, least: float = 0.6) -> DataFrame:
@@ -185,28 +196,29 @@ def redact(text: str, more: list[tuple[int, int, str]] = ()) -> str:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced; n_chars follows where the text changes. Only rows with discovered spans
-    are shuffled; docs must read the same twice (a table does)."""
-    scanned = scan(docs)
-    found = discovered(scanned, good_patterns(scanned))
-    row, more, hit = fresh(docs, "row", "more", "hit")
-    found = found.select(F.col("row").alias(row), F.col("more").alias(more))
-    probed = Bloom(found.count()).of_keys(found, row).probe(docs.withColumn(row, F.monotonically_increasing_id()), F.col(row), hit)
-    hits = probed.filter(F.col(hit)).drop(hit).join(found, row, "left").drop(row)
-    names, count = docs.columns, "n_chars" in docs.columns
+    are shuffled. The second reading finds a row by its file and its place there."""
+    rows, text, doc_id = located(docs), place(docs, "text"), place(docs, "doc_id")
+    scanned = scan(rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "at"), "at")
+    found = discovered(scanned, good_patterns(scanned)).withColumnRenamed("row", "at")
+    probed = Bloom(found.count()).of_keys(found, "at").probe(rows, F.col("at"), "hit")
+    hits = probed.filter("hit").drop("hit").join(found, "at", "left")
+    names = rows.columns[:-1]
+    chars = place(docs, "n_chars") if "n_chars" in docs.columns else None
+    schema = rows.select(*names).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            spans = batch.column(more).to_pylist() if more in batch.schema.names else [None] * len(texts)
+            texts = batch.column(text).to_pylist()
+            spans = batch.column("more").to_pylist() if "more" in batch.schema.names else [None] * len(texts)
             new = [t if t is None else redact(t, [(x["start"], x["end"], x["kind"]) for x in s or ()]) for t, s in zip(texts, spans, strict=True)]
             cols = {c: batch.column(c) for c in names}
-            if count:
-                cols["n_chars"] = pa.array([n if a == b else len(b) for n, a, b in zip(cols["n_chars"].to_pylist(), texts, new, strict=True)], cols["n_chars"].type)
-            cols["text"] = pa.array(new, cols["text"].type)
+            if chars:
+                cols[chars] = pa.array([n if a == b else len(b) for n, a, b in zip(cols[chars].to_pylist(), texts, new, strict=True)], cols[chars].type)
+            cols[text] = pa.array(new, cols[text].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
-    clear = probed.filter(~F.col(hit)).select(*names)
-    return clear.mapInArrow(run, docs.schema).unionByName(hits.select(*names, more).mapInArrow(run, docs.schema))
+    clear = probed.filter("NOT hit").select(*names)
+    return clear.mapInArrow(run, schema).unionByName(hits.select(*names, "more").mapInArrow(run, schema)).toDF(*docs.columns)
 
 
 def joined(spans: str) -> F.Column:

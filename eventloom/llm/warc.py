@@ -10,7 +10,8 @@ their indexes are located, and records are read by range, a few megabytes at a t
 
 Nulls and edge cases: null html is an empty payload; a null page_id counts as larger than any other; repeated rows with
 one page_id are one response and revisits of it; short payloads are all responses; an empty table writes nothing. Extra
-columns are left alone. Payloads of any length are one record; an archive is closed once it holds ``ARCHIVE`` bytes.
+columns are left alone, whatever their names. Payloads of any length are one record; an archive is closed once it holds
+``ARCHIVE`` bytes. Control characters and blanks of a URL are percent-encoded in the archive, as a header is one line.
 
 Paths are opened with pyarrow's file systems, as Spark has no range reads for Python.
 """
@@ -32,10 +33,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Bloom, read, small_batches
-from eventloom.shared import materialize, shared_dir
+from eventloom.llm.common import Bloom, located, place, read, small_batches
+from eventloom.shared import materialize, work_dir
 
 LEAST, ARCHIVE, READ = 100, 32 << 20, 4 << 20
+#: Bytes of archives that a task reads.
+SHARE = 128 << 20
 
 # Fixed values of the formats.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -177,24 +180,25 @@ class ArchiveReader:
 
 
 def _roles(pages: DataFrame) -> DataFrame:
-    """row, digest, bytes and, for revisits, refers_to of each page; pages has row, page_id and payload."""
-    digests = materialize(pages.select("row", "page_id", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest")), "payloads", wide=True)
+    """at and refers_to of each revisit; pages has at, page_id and payload."""
+    digests = materialize(pages.select("at", "page_id", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest")), "payloads", wide=True)
     able = digests.filter(F.col("bytes") >= LEAST)
-    hits = Bloom(digests.count()).of_repeated(able, "digest").probe(able, F.col("digest"), "hit").filter("hit").drop("hit")
-    first = F.min(F.struct(F.col("page_id").isNull(), "page_id", "row")).alias("first")
+    hits = Bloom.of_repeated(able, "digest").probe(able, F.col("digest"), "hit").filter("hit").drop("hit")
+    first = F.min(F.struct(F.col("page_id").isNull(), "page_id", "at")).alias("first")
     groups = materialize(hits.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "payload-groups")
-    return materialize(hits.join(groups, "digest").filter("row <> first.row").select("row", F.col("first.page_id").alias("refers_to"), F.lit(True).alias("revisit")), "revisits")
+    return materialize(hits.join(groups, "digest").filter("at <> first.at").select("at", F.col("first.page_id").alias("refers_to"), F.lit(True).alias("revisit")), "revisits")
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE) -> DataFrame:
-    """Writes the pages (page_id, url, html) and returns the manifest: path, bytes, records. pages must read the same
-    twice (a table does). Only rows that may be revisits are shuffled."""
+    """Writes the pages (page_id, url, html) and returns the manifest: path, bytes, records. Only rows that may be revisits
+    are shuffled; the second reading finds a page by its file and its place there."""
     small_batches(pages.sparkSession)
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    page_id, url, html = (F.col(place(pages, c)) for c in ("page_id", "url", "html"))
+    rows = located(pages).select("at", page_id.cast("long").alias("page_id"), url.alias("url"), F.coalesce(html, F.lit("")).cast("binary").alias("payload"))
     revisits = _roles(rows)
-    probed = Bloom(revisits.count()).of_keys(revisits, "row").probe(rows, F.col("row"), "hit")
+    probed = Bloom(revisits.count()).of_keys(revisits, "at").probe(rows, F.col("at"), "hit")
     clear = probed.filter("NOT hit").select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit"))
-    maybe = probed.filter("hit").join(revisits, "row", "left").select("page_id", "url", "payload", "refers_to", F.coalesce("revisit", F.lit(False)).alias("revisit"))
+    maybe = probed.filter("hit").join(revisits, "at", "left").select("page_id", "url", "payload", "refers_to", F.coalesce("revisit", F.lit(False)).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, done = None, []
@@ -244,12 +248,13 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> D
                 yield batch_of(rows)
 
     ddl = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * payloads
-    spread = manifest.sparkSession.sparkContext.defaultParallelism
-    return manifest.select("path").repartition(max(spread, min(2000, manifest.count()))).mapInArrow(run, ddl)
+    total = manifest.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, -(-(total[1] or 0) // SHARE))
+    return manifest.select("path").repartition(max(1, min(tasks, total[0]))).mapInArrow(run, ddl)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/eventloom/warc-{uuid.uuid4().hex}"
+    folder = f"{work_dir(spark)}/warc-{uuid.uuid4().hex}"
     return read_archives(write_archives(read(spark, sf_dir, "pages"), folder), folder)
 
 

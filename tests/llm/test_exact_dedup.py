@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventloom.llm import exact_dedup as E
-from eventloom.llm.common import BLANKS, Bloom, keep_absent, keep_present
+from eventloom.llm.common import BLANKS, Bloom, keep_absent, keep_present, read
 
 
 def plain(rows):
@@ -48,4 +49,34 @@ def test_bloom_has_no_false_negatives(spark):
     some = spark.range(0, 4000, 7).select(F.col("id").alias("k"))
     assert keep_absent(keys, "k", some, 600).count() == keys.join(some, "k", "left_anti").count()
     assert keep_present(keys, "k", some, 600).count() == keys.join(some, "k").count()
-    assert Bloom(1 << 40).half * 2 == Bloom.MOST_BITS
+
+
+@pytest.mark.parametrize("most", [1 << 28, 1 << 15])
+def test_few_false_hits_whatever_may_be_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(Bloom, "MOST_BITS", most)
+    keys = spark.range(10_000).select(F.when(F.col("id") < 9000, F.col("id")).otherwise(F.col("id") % 500).alias("k"))
+    probed = Bloom.of_repeated(keys, "k").probe(keys, F.col("k"), "hit")
+    assert ("broadcast" in probed._jdf.queryExecution().optimizedPlan().toString()) == (most > 1 << 20)
+    once = probed.filter("k >= 500")
+    assert once.filter("hit").count() < 0.05 * once.count() and probed.filter("k < 500 AND NOT hit").isEmpty()
+    some = spark.range(0, 10_000, 2).select(F.col("id").alias("k"))
+    absent = Bloom(some.count()).of_keys(some, "k").probe(spark.range(20_000).select(F.col("id").alias("k")), F.col("k"), "hit")
+    assert absent.filter("hit AND (k % 2 = 1 OR k >= 10000)").count() < 0.05 * 15_000 and absent.filter("NOT hit AND k % 2 = 0 AND k < 10000").isEmpty()
+
+
+def test_results_without_broadcast(spark, monkeypatch):
+    want = sorted(map(str, E.decide(read(spark, "/root/testdata/sf0.01", "documents")).collect()))
+    monkeypatch.setattr(Bloom, "MOST_BITS", 0)
+    assert sorted(map(str, E.decide(read(spark, "/root/testdata/sf0.01", "documents")).collect())) == want
+
+
+def test_smallest_number_and_ties(spark, tmp_path):
+    low = -(1 << 63)
+    rows = [(low, "a b", "x"), (5, "a b", "y"), (7, "t t", "first"), (7, "tt ", "second"), (7, "t t", "third"), (None, "a b", "z")]
+    spark.createDataFrame(rows, "doc_id long, text string, `odd.name` string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert {r.keep_id for r in E.decide(docs).collect()} == {low, 7}
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        assert sorted(r["odd.name"] for r in E.drop_copies(docs).collect()) == ["first", "x"]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")

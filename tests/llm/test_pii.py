@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -34,6 +35,7 @@ def test_base_spans_equal_the_plain_rules():
     for _ in range(4000):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
         assert P.base_spans(text) == plain(text), text
+    assert [x[2] for x in P.base_spans("0" * 5000 + "1.2.3.4 " + "0" * 5000 + "256.2.3.4 " + "9" * 5000 + ".1.1.1")] == ["ip"]
     for text in ("9" * 200_000, "a" * 200_000, "1." * 100_000, "+1" * 50_000, "a@" * 50_000):
         P.base_spans(text)
 
@@ -45,6 +47,53 @@ def test_redaction_leaves_no_base_span():
     assert P.redact("id K-12345 x", [(3, 10, "ctx")]) == "id [CTX] x"
 
 
+def test_context_is_whole_words_only():
+    assert P._pattern("x" * 90 + " call me: ", 100) == "call me" and P._pattern("x" * 90 + "call me ", 98) == "me" and P._pattern("a" * 500, 500) == ""
+    assert P._pattern("nr.12 ", 6) == "nr00" and P._pattern("", 0) == ""
+    spans = P.base_spans("AB-123456,1.2.3.4 1.2.3.4-AB12345 ZZ-123456")
+    assert [x[:2] for x in P.mentions("one two AB-12345", []) if not x[4]] == [(8, 16)]
+    assert [("AB-123456,1.2.3.4 1.2.3.4-AB12345 ZZ-123456")[a:b] for a, b, *_, seed in P.mentions("AB-123456,1.2.3.4 1.2.3.4-AB12345 ZZ-123456", spans) if not seed] == ["ZZ-123456"]
+
+
+def plain_scores(texts, rounds=3, seeds=5, least=0.6):
+    """The accepted patterns by the rules of the docstring, in plain dictionaries."""
+    n, seed = {}, {}
+    for t in texts:
+        for _, _, p, i, s in P.mentions(t, P.base_spans(t)):
+            n[p, i] = n.get((p, i), 0) + 1
+            seed[p, i] = seed.get((p, i), False) or s
+    score = {i: float(any(seed[e] for e in n if e[1] == i)) for _, i in n}
+    known = {i: score[i] == 1.0 for i in score}
+    for k in range(rounds):
+        total, good = {}, {}
+        for p in {p for p, _ in n}:
+            w = {i: math.log1p(n[p, i]) for q, i in n if q == p}
+            total[p] = sum(score[i] * x for i, x in w.items()) / (sum(w.values()) + 0.5)
+            good[p] = total[p] >= least and sum(known[i] for i in w) >= seeds
+        if k < rounds - 1:
+            for i in list(score):
+                w = {p: math.log1p(n[p, j]) for p, j in n if j == i}
+                certain = any(seed[p, i] for p in w)
+                score[i] = 1.0 if certain else sum(total[p] * x for p, x in w.items()) / sum(w.values())
+                known[i] = certain or any(good[p] for p in w)
+    return {p: total[p] for p in good if good[p]}
+
+
+def test_scoring_equals_brute_force_on_small_graphs(spark):
+    rng = random.Random(9)
+    accepted = 0
+    for _ in range(6):
+        contexts = [f"w{chr(97 + i)} v{chr(97 + i)}" for i in range(5)]
+        handles = [f"H-{1000 + i}" for i in range(8)]
+        texts = [f"{rng.choice(contexts[: rng.choice((2, 5))])} {rng.choice([f'u{rng.randrange(12)}@m.example', rng.choice(handles)])}" for _ in range(150)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.pattern: r.score for r in P.good_patterns(P.scan(df)).collect()}
+        want = plain_scores(texts)
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in got)
+        accepted += len(got)
+    assert accepted
+
+
 def _corpus(spark):
     rng = random.Random(7)
     rows = [(i, f"please reach me at user{rng.randrange(10**6)}@mail.example and thanks", "r") for i in range(40)]
