@@ -116,7 +116,8 @@ class DateScanner:
                 return last, end
         period = self.PERIOD.search(self.text[pos : pos + 20])
         if period:
-            return start + timedelta(days=int(period[1]) * self.UNIT_DAYS.get(period[2], 30) - 1), pos
+            days = int(period[1]) * self.UNIT_DAYS.get(period[2], 30) - 1
+            return (start + timedelta(days=days) if days <= (date.max - start).days else None), pos
         return None, pos
 
     def ranges(self, ref: date | None) -> Iterator[tuple[date, date | None, str, bool]]:
@@ -160,6 +161,31 @@ def extract_ranges(texts: pd.Series, refs: pd.Series) -> pd.Series:
     return pd.Series([[{"start": a, "end": b, "raw": c, "year_explicit": d} for a, b, c, d in DateScanner(t).ranges(_date(r))] for t, r in zip(texts, refs, strict=True)])
 
 
+DATES_READ = T.StructType([T.StructField("published", T.DateType()), *RANGE.fields, T.StructField("bare", T.StringType()), T.StructField("month", T.StringType()), T.StructField("month_explicit", T.BooleanType())])
+# Fixed value: what a publication date without a year is read against.
+LOOSE_REF = date(2000, 1, 1)
+
+
+@pandas_udf(DATES_READ)
+def read_dates(texts: pd.Series, refs: pd.Series, loose: pd.Series) -> pd.DataFrame:
+    """All that a run needs of a text, in one pass: its first range, else its first date without a year, else its first month
+    without a day. The reference is refs, or where that is null the first date of ``loose``; it is returned as published."""
+    out = []
+    for text, ref, other in zip(texts, map(_date, refs), loose, strict=True):
+        if ref is None and other:
+            ref = next((r[0] for r in DateScanner(other).ranges(LOOSE_REF)), None)
+        scanner = DateScanner(text)
+        found = next(scanner.ranges(ref), None)
+        bare = None if found else scanner.bare()
+        month = None if found or bare else scanner.month(ref)
+        out.append((ref, *(found or (None,) * 4), bare, *(month or (None, None))))
+    return pd.DataFrame(out, columns=DATES_READ.names, dtype=object)
+
+
+# not to be evaluated again for each filter that could be pushed below it
+read_dates = read_dates.asNondeterministic()
+
+
 @pandas_udf(StringType())
 def mentions_bare_date(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: DateScanner(t).bare())

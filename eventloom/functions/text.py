@@ -47,10 +47,22 @@ def normalize(text: Column, folded=fold) -> Column:
     return F.translate(folded(F.coalesce(text, F.lit(""))), V.BRACKETS + V.SEPARATORS, "")
 
 
+_GONE = {ord(c): None for c in V.BRACKETS + V.SEPARATORS}
+
+
+@pandas_udf(StringType())
+def key_once(texts: pd.Series) -> pd.Series:
+    """The comparison key, whole from Python, where many expressions use it."""
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t or "").casefold().translate(_GONE))
+
+
+# not to be evaluated again for each filter that could be pushed below it
+key_once = key_once.asNondeterministic()
+
+
 def fold_words(words: Sequence[str]) -> list[str]:
     """The same key of literals, made once on the driver."""
-    gone = {ord(c): None for c in V.BRACKETS + V.SEPARATORS}
-    return [unicodedata.normalize("NFKC", w).translate(gone).casefold() for w in words]
+    return [unicodedata.normalize("NFKC", w).translate(_GONE).casefold() for w in words]
 
 
 def loosen(key: Column, prefixes: Sequence[str] = tuple(V.LOOSE_PREFIXES)) -> Column:

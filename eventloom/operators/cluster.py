@@ -92,9 +92,14 @@ def trust() -> Column:
 
 
 def _distinct_by(rows: Column, key) -> Column:
-    """The first element of each key, in order."""
-    keys = F.transform(rows, key)
-    return F.filter(F.transform(rows, lambda x, i: F.when(F.array_position(keys, key(x)) == i + 1, x)), lambda x: x.isNotNull())
+    """The first element of each key, in order: sorted by key, an element counts if its key isn't that of the one before."""
+    placed = F.array_sort(F.transform(rows, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+
+    def firsts(z: Column) -> Column:
+        marked = F.transform(z, lambda e, j: F.struct(e.i.alias("i"), e.x.alias("x"), ((j == 0) | ~e.k.eqNullSafe(F.get(z, j - 1)["k"])).alias("first")))
+        return F.transform(F.array_sort(F.filter(marked, lambda e: e.first)), lambda e: e.x)
+
+    return F.get(F.transform(F.array(placed), firsts), 0)  # as a variable, the sorted array is made once
 
 
 def resolve(members: DataFrame) -> DataFrame:

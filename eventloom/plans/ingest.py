@@ -40,7 +40,7 @@ def evaluate(candidates: DataFrame, config: Config) -> DataFrame:
     empty = [c for c in ("title", "url", "summary", "snippet", "source", "published")]
     c = candidates.withColumns({n: F.coalesce(n, F.lit("")) for n in empty}).filter(~U.is_listing_url(F.col("url")))
     c = c.withColumn("title", X.strip_site_suffix(F.col("title")))
-    c = c.withColumn("_key", X.normalize(_joined("title", "summary", "url")))
+    c = c.withColumn("_key", X.key_once(_joined("title", "summary", "url")))
     c = c.withColumn("categories", R.event_fallback(F.col("_key"), R.classify(F.col("_key"), config.categories), config.categories)).filter(F.size("categories") > 0)
     c = c.withColumn("matches", R.match_watchlist(F.col("_key"), X.loosen(F.col("_key")), config.works, config.people)).withColumn("watched", F.size("matches") > 0)
     return (c if config.include_unmatched else c.filter("watched")).drop("_key")
@@ -53,31 +53,32 @@ def keyed(items: DataFrame) -> DataFrame:
 
 
 def published_on(today: Column) -> Column:
-    """From a post's number, else the URL's path, else the given text; as dated prose if nothing else fits."""
-    loose = F.get(D.extract_ranges(F.trim("published"), F.to_date(F.lit("2000-01-01"))), 0)["start"]
-    return F.coalesce(U.published_from_post(F.col("url")), U.published_from_path(F.col("url"), today), D.parse_published(F.col("published")), loose)
+    """From a post's number, else the URL's path, else the given text in a known format; prose is read with the text."""
+    return F.coalesce(U.published_from_post(F.col("url")), U.published_from_path(F.col("url"), today), D.parse_published(F.col("published")))
 
 
 def dated(items: DataFrame, config: Config) -> DataFrame:
-    """Items with event, date_note, date_hint, unverifiable; stale and past ones are gone."""
+    """Items with event, date_note, date_hint, unverifiable; stale and past ones are gone. Texts go to Python once, without
+    those that are known to be stale; dated prose in ``published`` only where nothing else gives a date."""
     today = F.lit(config.today)
-    x = items.withColumn("published", published_on(today)).filter(~R.is_stale(F.col("published"), today))
-    x = x.withColumn("_text", _joined("title", "snippet", "summary"))
-    x = x.withColumns({"_range": F.get(D.extract_ranges("_text", "published"), 0), "_bare": D.mentions_bare_date("_text"), "_month": D.mentions_month("_text", "published")})
+    x = items.withColumn("_known", published_on(today)).filter(~R.is_stale(F.col("_known"), today))
+    x = x.withColumn("_d", D.read_dates(_joined("title", "snippet", "summary"), F.col("_known"), F.when(F.col("_known").isNull(), F.trim("published"))))
+    x = x.withColumn("published", F.col("_d.published")).filter(~R.is_stale(F.col("published"), today))
+    x = x.withColumn("_range", F.when(F.col("_d.start").isNotNull(), F.struct(*[F.col(f"_d.{n}").alias(n) for n in D.RANGE.names])))
     r = F.col("_range")
     x = x.withColumn("_v", R.assess(r["start"], r["end"], F.col("published"), today, r["year_explicit"], F.col("categories")))
     ok, has = F.col("_v.accepted"), r.isNotNull()
-    hint = F.nullif(F.when(has, r["raw"]).otherwise(F.col("_bare")), F.lit(""))
-    by_month = ~ok & hint.isNull() & ~has & F.col("_month.text").isNotNull()
+    hint = F.nullif(F.when(has, r["raw"]).otherwise(F.col("_d.bare")), F.lit(""))
+    by_month = ~ok & hint.isNull() & ~has & F.col("_d.month").isNotNull()
     x = x.withColumns({
         "event": F.when(ok, r),
-        "date_hint": F.when(ok, F.lit(None)).when(hint.isNotNull(), hint).when(by_month, F.col("_month.text")),
+        "date_hint": F.when(ok, F.lit(None)).when(hint.isNotNull(), hint).when(by_month, F.col("_d.month")),
         "date_note": F.when(ok, "").when(hint.isNotNull() & ~has, V.NOTE_NO_YEAR).when(by_month, V.NOTE_MONTH).otherwise(F.col("_v.reason")),
-        "unverifiable": ~ok & F.col("published").isNull() & ~(by_month & F.col("_month.year_explicit")),
+        "unverifiable": ~ok & F.col("published").isNull() & ~(by_month & F.col("_d.month_explicit")),
     })
     if config.drop_past_events:
         x = x.filter(~R.has_ended(F.col("event.start"), F.col("event.end"), today))
-    return x.drop("_text", "_range", "_bare", "_month", "_v")
+    return x.drop("_known", "_d", "_range", "_v")
 
 
 def run(candidates: DataFrame, seen: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
