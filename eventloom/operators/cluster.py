@@ -61,7 +61,9 @@ def same_event(pairs: DataFrame, a: str, b: str) -> Column:
     touch = F.arrays_overlap(c(a, "_tri"), c(b, "_tri")) | F.arrays_overlap(c(a, "_bi"), c(b, "_short")) | F.arrays_overlap(c(a, "_short"), c(b, "_bi"))
     common = X.shared_term_count(terms[a], terms[b])
     timed = overlaps(c(a, "start"), c(a, "end"), c(b, "start"), c(b, "end")) | month_inside(c(a, "start"), c(a, "end"), c(b, "_month"), c(b, "start")) | month_inside(c(b, "start"), c(b, "end"), c(a, "_month"), c(a, "start"))
-    similar = X.jaccard(c(a, "_grams"), c(b, "_grams")) >= V.SIMILAR_TITLES
+    # grams are distinct, so that their union's size follows from that of the intersection
+    both = F.size(F.array_intersect(c(a, "_grams"), c(b, "_grams")))
+    similar = both >= V.SIMILAR_TITLES * (F.size(c(a, "_grams")) + F.size(c(b, "_grams")) - both)
     enough = F.when(timed & alike, 1).otherwise(V.SHARED_TERMS)
     return F.coalesce(similar | (quoted & alike) | (touch & (common >= enough)), F.lit(False))
 
@@ -75,7 +77,8 @@ def same_event_pairs(signalled: DataFrame) -> DataFrame:
     for s in ("a", "b"):
         side = signalled.select(*(F.col(f"`{c}`").alias(f"{s}_{c}") for c in ("ord", "labels", "categories", "start", "end", "_month", "_key", "_grams", "_terms", "_tri", "_bi", "_short", "_quoted")))
         sides[s] = side.withColumn(f"{s}_label", F.explode(f"{s}_labels"))
-    meet = sides["a"].join(sides["b"], (F.col("a_label") == F.col("b_label")) & (F.col("a_ord") < F.col("b_ord")))
+    # judging a pair costs more than moving its rows, so that labels are dealt to all tasks
+    meet = sides["a"].join(sides["b"].hint("merge"), (F.col("a_label") == F.col("b_label")) & (F.col("a_ord") < F.col("b_ord")))
     meet = meet.withColumn("shared", F.array_intersect("a_labels", "b_labels")).filter(F.col("a_label") == F.array_min("shared"))
     return meet.filter(same_event(meet, "a", "b")).select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))
 
@@ -132,10 +135,10 @@ def resolve(members: DataFrame) -> DataFrame:
     )
 
 
-def collapse(items: DataFrame) -> DataFrame:
+def collapse(items: DataFrame, nfkc=X.nfkc, normalize=X.normalize) -> DataFrame:
     """Clusters and their values. items as for signals and resolve; labels come from matches."""
     labelled = materialize(items.withColumn("labels", F.array_distinct(F.filter(F.transform("matches", lambda m: m.label), lambda x: F.coalesce(x, F.lit("")) != ""))), "items", wide=True)
-    return resolve(clusters(labelled, same_event_pairs(materialize(signals(labelled), "signals"))))
+    return resolve(clusters(labelled, same_event_pairs(materialize(signals(labelled, nfkc, normalize), "signals", wide=True))))
 
 
 def earliest(df: DataFrame, key: str, start: str) -> DataFrame:

@@ -9,6 +9,10 @@ from eventloom.functions import vocab as V
 from eventloom.functions.text import clip, fill
 
 
+# Characters of the push line, a bullet, a mail's summary and a calendar title; bullets; hours without a run.
+MOST_PUSH, MOST_BULLET, MOST_MAIL, MOST_TITLE, BULLETS, QUIET_HOURS = 200, 56, 120, 200, 6, 36
+
+
 def period(start: Column, end: Column, note: Column) -> Column:
     """M/D, M/D〜M/D, or one of two texts for no date."""
     day = lambda d: F.date_format(d, "M/d")
@@ -29,15 +33,15 @@ def push_line(items: DataFrame) -> DataFrame:
     """One line: the next event and how many more; at most 200 characters."""
     head = items.agg(F.min(F.struct(F.col("start").isNull(), "start", "ord", "end", "title", "date_note")).alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 0")
     line = F.concat_ws(" ", period(F.col("h.start"), F.col("h.end"), F.col("h.date_note")), F.col("h.title"), F.when(F.col("n") > 1, fill(V.PUSH_MORE, F.col("n") - 1)))
-    return head.select(F.when(F.char_length(line) > 200, F.concat(F.substring(line, 1, 197), F.lit("…"))).otherwise(line).alias("push"))
+    return head.select(F.when(F.char_length(line) > MOST_PUSH, F.concat(F.substring(line, 1, MOST_PUSH - 3), F.lit("…"))).otherwise(line).alias("push"))
 
 
-def push_bullets(items: DataFrame, keys: list[str], limit: int = 6) -> DataFrame:
+def push_bullets(items: DataFrame, keys: list[str], limit: int = BULLETS) -> DataFrame:
     """For each key a head line, the first titles by date and the number of others. Only the first ``limit`` rows of a key
     are gathered."""
     # the limit is known to the plan, so that each task passes on its first rows of a key only; counts are combined apart
     top = items.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*by_date()))).filter(F.col("_r") <= limit)
-    g = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", clip(F.col("title"), 56).alias("t")))).alias("x"))
+    g = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", clip(F.col("title"), MOST_BULLET).alias("t")))).alias("x"))
     counts = items.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("n"))
     same = F.lit(True)
     for k in keys:
@@ -60,7 +64,7 @@ def email_entry(today: Column) -> Column:
     indent = lambda x: F.concat(F.lit("   "), x)
     shown = F.when(some("date_hint").isNotNull(), fill(V.MAIL_HINT, F.col("date_hint"))).otherwise(F.lit(V.MAIL_NO_HINT))
     note = F.when(some("date_note").isNotNull(), fill(V.MAIL_NOTE, F.col("date_note"), shown))
-    return F.concat_ws("\n", head, indent(label(F.col("categories"), F.transform("matches", lambda m: m.label))), indent(F.substring(some("summary"), 1, 120)), note, indent(some("url")), F.lit(""))
+    return F.concat_ws("\n", head, indent(label(F.col("categories"), F.transform("matches", lambda m: m.label))), indent(F.substring(some("summary"), 1, MOST_MAIL)), note, indent(some("url")), F.lit(""))
 
 
 def email_body(items: DataFrame, today: Column) -> DataFrame:
@@ -77,7 +81,7 @@ def calendar_events(items: DataFrame) -> DataFrame:
     last = F.coalesce("end", "start")
     some = [F.nullif(F.col(c), F.lit("")) for c in ("summary", "url")]
     return items.filter("start IS NOT NULL").select(
-        "ord", F.substring(F.concat_ws(" ", label(F.col("categories"), F.transform("matches", lambda m: m.label)), F.col("title")), 1, 200).alias("summary"),
+        "ord", F.substring(F.concat_ws(" ", label(F.col("categories"), F.transform("matches", lambda m: m.label)), F.col("title")), 1, MOST_TITLE).alias("summary"),
         F.col("start").alias("start_date"), last.alias("end_date"), F.date_add(last, 1).alias("end_date_exclusive"), F.concat_ws("\n", *some).alias("description"),
     )
 
@@ -98,5 +102,5 @@ def run_gate(requested: Column, pending: Column) -> Column:
     return F.when(F.coalesce(requested, F.lit(False)), "full").when(pending > 0, "diff").otherwise("none")
 
 
-def unhealthy(last_run: Column, error: Column, now: Column, hours: int = 36) -> Column:
+def unhealthy(last_run: Column, error: Column, now: Column, hours: int = QUIET_HOURS) -> Column:
     return last_run.isNull() | (last_run < now - F.make_interval(hours=F.lit(hours))) | (F.coalesce(error, F.lit("")) != "")

@@ -13,7 +13,7 @@ PAYLOAD = ["title", "url", "summary", "source", "published", "categories", "matc
 
 
 def merge_clusters(members: DataFrame, versions: DataFrame, folded=normalize) -> DataFrame:
-    """Write operations (op, doc_id, if_version, payload columns) for clusters with a fresh row.
+    """Write operations (op, doc_id, if_version, payload columns, ord: the cluster's place) for clusters with a fresh row.
 
     members: rows with cluster as for resolve, and doc_id (null: fresh) and calendar_id of existing ones. The existing row
     with a calendar entry, else with the smallest doc_id, is written; others of its cluster are deleted; clusters without
@@ -28,7 +28,7 @@ def merge_clusters(members: DataFrame, versions: DataFrame, folded=normalize) ->
     ).filter("fresh").select("cluster", F.col("keep.doc_id").alias("keep_id"), "calendar_id")
     rows = resolve(members.join(keys.select("cluster"), "cluster", "left_semi")).join(keys, "cluster")
     new_id = fingerprint(canonical_url(F.col("url")), loosen(folded(strip_site_suffix(F.col("title")))))
-    sets = rows.select(F.lit("set").alias("op"), F.coalesce("keep_id", new_id).alias("doc_id"), *PAYLOAD, "calendar_id")
+    sets = rows.select(F.lit("set").alias("op"), F.coalesce("keep_id", new_id).alias("doc_id"), *PAYLOAD, "calendar_id", F.col("cluster").alias("ord"))
     drops = members.filter(known).join(keys.select("cluster", "keep_id"), "cluster").filter("doc_id <> keep_id").select(F.lit("delete").alias("op"), "doc_id")
     ops = sets.unionByName(drops, allowMissingColumns=True)
     return ops.join(versions.select("doc_id", F.col("version").alias("if_version")), "doc_id", "left")

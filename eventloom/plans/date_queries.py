@@ -109,11 +109,11 @@ def parse_published(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", D.parse_published(text).alias("published"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y') || '年' || month(o_orderdate) || '月' WHEN o_orderkey % 3 = 1 THEN month(o_orderdate) || '月' ELSE '' END AS hint, o_orderkey % 3 = 0 AND year(o_orderdate) >= 2000 AS year_explicit FROM orders WHERE year(o_orderdate) >= 2000 OR o_orderkey % 3 > 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y') || '年' || month(o_orderdate) || '月' WHEN o_orderkey % 3 < 2 THEN month(o_orderdate) || '月' ELSE '' END AS hint, o_orderkey % 3 = 0 AND year(o_orderdate) >= 2000 AS year_explicit FROM orders")
 def month_mentions(t: Tables) -> DataFrame:
     d, k = _order_date(), F.col("o_orderkey") % 3
     text = F.when(k == 0, F.date_format(d, "yyyy年M月から発売")).when(k == 1, F.date_format(d, "M月開催決定")).otherwise(F.date_format(d, "M月d日"))
-    x = t.orders.filter((F.year("o_orderdate") >= 2000) | (k > 0)).select("o_orderkey", D.mentions_month(text, F.lit(None).cast("date")).alias("m"))
+    x = t.orders.select("o_orderkey", D.mentions_month(text, F.lit(None).cast("date")).alias("m"))
     return x.select("o_orderkey", F.coalesce("m.text", F.lit("")).alias("hint"), F.coalesce("m.year_explicit", F.lit(False)).alias("year_explicit"))
 
 
@@ -176,12 +176,13 @@ def assess_verdict(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'inconclusive' WHEN 1 THEN 'unreachable' WHEN 2 THEN 'inconclusive' WHEN 3 THEN 'contradicted' WHEN 4 THEN 'confirmed' WHEN 5 THEN 'consistent' ELSE 'confirmed' END AS date_confidence,
- CASE o_orderkey % 7 WHEN 3 THEN NULL WHEN 6 THEN (o_orderdate::DATE + INTERVAL 1 YEAR)::DATE ELSE o_orderdate::DATE END AS start FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)
+SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'inconclusive' WHEN 1 THEN 'unreachable' WHEN 2 THEN 'inconclusive' WHEN 3 THEN 'contradicted' WHEN 4 THEN 'confirmed' WHEN 5 THEN 'consistent' ELSE CASE WHEN leap THEN 'contradicted' ELSE 'confirmed' END END AS date_confidence,
+ CASE o_orderkey % 7 WHEN 3 THEN NULL WHEN 6 THEN CASE WHEN NOT leap THEN (o_orderdate::DATE + INTERVAL 1 YEAR)::DATE END ELSE o_orderdate::DATE END AS start FROM (SELECT *, month(o_orderdate) = 2 AND day(o_orderdate) = 29 AS leap FROM orders) AS o
 """)
 def body_confirm(t: Tables) -> DataFrame:
+    """A year after 29 February is the 28th, which that body doesn't confirm."""
     d, k = _order_date(), F.col("o_orderkey") % 7
-    o = t.orders.filter(~((F.month("o_orderdate") == 2) & (F.day("o_orderdate") == 29)))
+    o = t.orders
     event = F.struct(d.alias("start"), F.lit(None).cast("date").alias("end"), F.lit("").alias("raw"), F.lit(False).alias("year_explicit"))
     url = F.concat(F.lit("u"), F.col("o_orderkey").cast("string"))
     items = o.select("o_orderkey", F.when(k == 0, "").otherwise(url).alias("url"), event.alias("event"), F.lit(None).cast("string").alias("date_hint"), F.lit("").alias("date_note"), d.alias("published"))

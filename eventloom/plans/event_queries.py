@@ -13,6 +13,7 @@ from eventloom.operators import merge as M
 from eventloom.operators import planner as P
 from eventloom.operators import rules as R
 from eventloom.operators import state as S
+from eventloom.plans import flows as L
 from eventloom.plans.date_queries import today
 from eventloom.plans.registry import Tables, query
 from eventloom.plans.text_queries import _TEXT, _canonical, _key, _sql, plain_key
@@ -201,6 +202,30 @@ def news_items(t: Tables) -> DataFrame:
     return M.news(_writes(t), existing).select("doc_id", "status")
 
 
+_NEWS = """old AS (SELECT doc_id, CASE WHEN ord % 10 < 6 THEN start END AS start FROM m WHERE doc_id IS NOT NULL),
+news AS (SELECT w.*, row_number() OVER (ORDER BY w.start NULLS LAST, w.cluster) AS r FROM (SELECT 'set' AS op, coalesce(substr(g.keep, 2), '') AS doc_id, b.cluster, b.title, b.start, g.unverifiable FROM b JOIN g ON b.cluster = g.cluster WHERE g.fresh) AS w LEFT JOIN old ON w.doc_id = old.doc_id WHERE NOT coalesce(unverifiable, FALSE) AND (old.doc_id IS NULL OR w.start IS DISTINCT FROM old.start))"""
+
+
+@query(f"{_MEMBERS}, {_NEWS} SELECT max(c) AS count, '07/01 新着' || max(c) || '件（ウォッチ対象' || max(c) || '件）' AS subject, '新着' || max(c) || '件' || chr(10) || string_agg('- ' || title, chr(10) ORDER BY r) || CASE WHEN max(c) > 6 THEN chr(10) || '- ほか' || (max(c) - 6) || '件' ELSE '' END AS bullets FROM (SELECT *, count(*) OVER () AS c FROM news) AS n WHERE r <= 6")
+def news_digest(t: Tables) -> DataFrame:
+    """Merging, what is news of it, and its digest."""
+    existing = _members(t).filter("doc_id IS NOT NULL").select("doc_id", F.when(F.col("ord") % 10 < 6, F.col("start")).alias("start"), F.lit("").alias("end"))
+    return L.news_digest(_writes(t), existing, today()).select("count", "subject", "bullets")
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, w AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs), r AS (SELECT ord, ord AS label FROM x UNION SELECT r.ord, w.y FROM r JOIN w ON r.label = w.x), c AS (SELECT ord, min(label) AS cluster FROM r GROUP BY ord),
+best AS (SELECT cluster, min(CASE WHEN start IS NOT NULL THEN c.ord END) AS dated, min(c.ord) AS first, count(*) AS n FROM c JOIN x ON c.ord = x.ord GROUP BY cluster),
+b AS (SELECT cluster, coalesce(dated, first) AS ord FROM best)
+SELECT b.cluster, b.ord, max(y.start) AS start, count(*) FILTER (WHERE m.start IS NOT NULL AND m.start <> y.start) AS conflicts FROM b JOIN x AS y ON b.ord = y.ord JOIN c ON c.cluster = b.cluster JOIN x AS m ON m.ord = c.ord GROUP BY b.cluster, b.ord""")
+def collapse(t: Tables) -> DataFrame:
+    """Pairs, their closure and the values that survive, in one."""
+    nothing = F.lit("")
+    label = F.transform("labels", lambda x: F.struct(F.lit("work").alias("kind"), x.alias("label"), F.lit(None).cast("string").alias("role")))
+    items = _items(t).withColumns({"url": F.col("ord").cast("string"), "source": nothing, "published": nothing, "matches": label, "year_explicit": F.lit(False), "date_note": nothing, "date_confidence": nothing, "unverifiable": F.lit(False), "sources": F.array().cast(L.SOURCES), "status": F.lit("new")}).drop("labels")
+    r = C.collapse(items, lambda c: F.col(c) if isinstance(c, str) else c, plain_key)
+    return r.select("cluster", "ord", "start", F.size("date_conflict").cast("long").alias("conflicts"))
+
+
 # digests: a customer's orders are the items of one digest
 
 
@@ -350,13 +375,8 @@ def recent_rows(t: Tables) -> DataFrame:
     return I.recent(t.events, F.when(F.col("event_id") % 6 != 0, F.to_date("ts")), F.to_date(F.lit("2024-01-20"))).select("event_id")
 
 
-@query("SELECT 0 AS batch, event_id AS id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 1, page_id FROM pages")
-def append_inbox(t: Tables) -> DataFrame:
-    return I.append(t.events.filter("event_id % 2 = 0").select(F.col("event_id").alias("id"), "event_type"), t.pages.select(F.col("page_id").alias("id"), "url")).select("batch", "id")
-
-
 @query("SELECT 0 AS batch, event_id AS id FROM events UNION ALL SELECT 1, page_id FROM pages")
-def append_inbox_whole(t: Tables) -> DataFrame:
+def append_inbox(t: Tables) -> DataFrame:
     return I.append(t.events.select(F.col("event_id").alias("id"), "event_type"), t.pages.select(F.col("page_id").alias("id"), "url")).select("batch", "id")
 
 

@@ -59,6 +59,13 @@ def url_fingerprint(t: Tables) -> DataFrame:
 _TEXT = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>', ' ', 'g'), '(?i)<br\s*/?>|</p>|</div>|</li>|</h[1-6]>', E'\n', 'g'), '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t　]+', ' ', 'g'), E'\n{3,}', E'\n\n', 'g'), E' \n\t\r')"""
 
 
+@query(f"SELECT page_id, length(x) AS n_chars, sha256(x) AS text_sha256 FROM (SELECT page_id, {_TEXT} AS x FROM pages) AS p")
+def html_to_text_all_entities(t: Tables) -> DataFrame:
+    """The default path, which knows every entity; the pages have eight."""
+    x = t.pages.select("page_id", X.html_to_text(F.col("html")).alias("x"))
+    return x.select("page_id", F.char_length("x").cast("long").alias("n_chars"), F.sha2("x", 256).alias("text_sha256"))
+
+
 @query(f"SELECT page_id, length(x) AS n_chars, sha256(x) AS text_sha256 FROM (SELECT page_id, {_TEXT} AS x FROM pages) AS p")
 def html_to_text(t: Tables) -> DataFrame:
     x = t.pages.select("page_id", X.html_to_text(F.col("html"), X.unescape_common).alias("x"))
@@ -188,25 +195,13 @@ def distinctive_terms(t: Tables) -> DataFrame:
     return d.select("doc_id", F.size("x").cast("long").alias("n_terms"), F.array_min("x").alias("first_term"))
 
 
-@query("""
-WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]{3,}') AS w FROM conversations),
-p AS (SELECT a.conv_id, a.turn, a.w[1:8] AS x, b.w[1:8] AS y FROM t AS a JOIN t AS b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-SELECT conv_id, turn, len(list_filter(x, lambda a: len(list_filter(y, lambda b: contains(a, b) OR contains(b, a) OR len(list_filter(range(1, greatest(length(a) - 1, 2)), lambda i: contains(b, substr(a, i, 3)))) > 0)) > 0)) AS n_shared FROM p
-""")
-def shared_terms(t: Tables) -> DataFrame:
-    """Neighbouring turns, eight terms from each as a title has."""
-    w = t.conversations.select("conv_id", "turn", F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), 1, 8).alias("w"))
-    nxt = w.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("y"))
-    return w.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", X.shared_term_count(F.col("w"), F.col("y")).cast("long").alias("n_shared"))
-
-
 # words of three letters or more are related just if they have three in a row in common
 @query("""
 WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(text, '[A-Za-z]{3,}')) AS w FROM conversations),
 g AS (SELECT conv_id, turn, w, list_distinct(flatten(list_transform(w, lambda a: list_transform(range(1, length(a) - 1), lambda i: substr(a, i, 3))))) AS g FROM t)
 SELECT a.conv_id, a.turn, len(list_filter(a.w, lambda x: list_has_any(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)), b.g))) AS n_shared FROM g AS a JOIN g AS b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
 """)
-def shared_terms_whole(t: Tables) -> DataFrame:
+def shared_terms(t: Tables) -> DataFrame:
     """Neighbouring turns, all different terms of each."""
     w = t.conversations.select("conv_id", "turn", F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w"))
     nxt = w.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("y"))

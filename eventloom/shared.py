@@ -48,9 +48,14 @@ def work_dir(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Deletes what this application has written there; its results that still read from it must be written before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = filesystem(spark, work_dir(spark))
+    fs.delete(path, True)
+
+
+def filesystem(spark: SparkSession, folder: str):
+    """The file system of a path in any store that Spark reads, and the path in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def materialize(df: DataFrame, name: str, wide: bool = False) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sinks: state snapshots, write lists, digests, outbox rows and query lines."""
+"""Sinks: write lists, digests, outbox rows and query lines."""
 
 from __future__ import annotations
 
@@ -8,16 +8,11 @@ from pyspark.sql import functions as F
 from eventloom.functions import vocab as V
 from eventloom.functions.text import fill
 from eventloom.operators import digest as G
-from eventloom.operators.state import prune
-
-
-def state(seen: DataFrame, path: str, today: Column | None = None) -> None:
-    """A snapshot of the state, without entries past their time if today is given."""
-    (prune(seen, today) if today is not None else seen).write.mode("overwrite").parquet(path)
 
 
 def operations(ops: DataFrame, path: str) -> None:
-    ops.write.mode("overwrite").json(path)
+    """A write list; the order of its rows has no meaning and isn't kept."""
+    ops.drop("ord").write.mode("overwrite").json(path)
 
 
 def lines(queries: DataFrame, path: str) -> None:

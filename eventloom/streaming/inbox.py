@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from eventloom.operators.state import prune
 from eventloom.plans.ingest import Config, run
+from eventloom.sources import snapshots
 from eventloom.sources.readers import CANDIDATE, SEEN
 
 
@@ -18,27 +20,18 @@ def files(spark: SparkSession, folder: str, consume: bool = False) -> DataFrame:
     return (reader.option("cleanSource", "delete") if consume else reader).json(folder)
 
 
-def snapshot(spark: SparkSession, state: str, batch: int) -> DataFrame:
-    """The state before a batch: the snapshot of the one before, empty for the first."""
-    try:
-        return spark.read.schema(SEEN).parquet(f"{state}/after={batch - 1}")
-    except AnalysisException:
-        if batch:
-            raise
-        return spark.createDataFrame([], SEEN)
-
-
 def start(candidates: DataFrame, state: str, out: str, checkpoint: str, config: Callable[[int], Config]) -> StreamingQuery:
     """Runs all files that are there and ends. Each batch reads the snapshot before it and overwrites its own results, so
     that a batch which is run again gives the same."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        from pyspark.sql import functions as F
-
         spark = rows.sparkSession
         numbered = rows.withColumn("ord", F.monotonically_increasing_id())
-        items, after = run(numbered, snapshot(spark, state, number), config(number))
+        settings = config(number)
+        # what a batch reads is the snapshot of the one before, so that it may be run again; older ones go
+        seen = snapshots.read(spark, state, "after=", number - 1) if number else spark.createDataFrame([], SEEN)
+        items, after = run(numbered, seen, settings)
         items.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        after.write.mode("overwrite").parquet(f"{state}/after={number}")
+        snapshots.write(prune(after, F.lit(settings.today)), state, "after=", number)
 
     return candidates.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
