@@ -68,21 +68,90 @@ def same_event(pairs: DataFrame, a: str, b: str) -> Column:
     return F.coalesce(similar | (quoted & alike) | (touch & (common >= enough)), F.lit(False))
 
 
-def same_event_pairs(signalled: DataFrame) -> DataFrame:
+#: Rows of a label up to which all its pairs are judged.
+SMALL = 64
+
+_SIGNALS = ("ord", "labels", "categories", "start", "end", "_month", "_key", "_grams", "_terms", "_tri", "_bi", "_short", "_quoted")
+
+
+def same_event_pairs(signalled: DataFrame, small: int = SMALL) -> DataFrame:
     """(a, b), a < b, of rows that share a label and are one event.
 
-    Rows meet only where they share a label; the pair is judged once, at its smallest shared label.
+    Rows meet only where they share a label; the pair is judged once, at its smallest shared label. In a label of more than
+    ``small`` rows only those pairs meet that have something in common which every rung of the ladder asks for in its way.
     """
+    rows = materialize(signalled.select(*_SIGNALS), "signals", wide=True)
+    sizes = rows.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    large = materialize(sizes.filter(F.col("n") > small).select("label"), "large")
+    some = not large.isEmpty()
     sides = {}
     for s in ("a", "b"):
-        side = signalled.select(*(F.col(f"`{c}`").alias(f"{s}_{c}") for c in ("ord", "labels", "categories", "start", "end", "_month", "_key", "_grams", "_terms", "_tri", "_bi", "_short", "_quoted")))
-        sides[s] = side.withColumn(f"{s}_label", F.explode(f"{s}_labels"))
+        side = rows.select(*(F.col(c).alias(f"{s}_{c}") for c in _SIGNALS)).withColumn(f"{s}_label", F.explode(f"{s}_labels"))
+        sides[s] = side.join(large.withColumnRenamed("label", f"{s}_label"), f"{s}_label", "left_anti") if some else side
     # judging a pair costs more than moving its rows, so that labels are dealt to all tasks
     meet = sides["a"].join(sides["b"].hint("merge"), (F.col("a_label") == F.col("b_label")) & (F.col("a_ord") < F.col("b_ord")))
-    meet = meet.withColumn("shared", F.array_intersect("a_labels", "b_labels")).filter(F.col("a_label") == F.array_min("shared"))
+    found = _judged(meet, F.col("a_label"))
+    if not some:
+        return found
+    pairs = _candidates(rows, large)
+    for s in ("a", "b"):
+        pairs = pairs.join(rows.select(*(F.col(c).alias(f"{s}_{c}") for c in _SIGNALS)), F.col(s) == F.col(f"{s}_ord")).drop(s)
+    return found.unionByName(_judged(pairs, F.col("label")))
+
+
+def _judged(meet: DataFrame, label: Column) -> DataFrame:
+    meet = meet.withColumn("shared", F.array_intersect("a_labels", "b_labels")).filter(label == F.array_min("shared"))
     return meet.filter(same_event(meet, "a", "b")).select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))
 
 
+def _meeting(one: DataFrame, two: DataFrame, test: Column | None = None) -> DataFrame:
+    """(label, a, b) of rows of both that have a label and token in common."""
+    pairs = one.select("label", "token", *(F.col(c).alias(f"{c}_1") for c in one.columns[2:])).join(two.select("label", "token", *(F.col(c).alias(f"{c}_2") for c in two.columns[2:])), ["label", "token"])
+    if test is not None:
+        pairs = pairs.filter(test)
+    return pairs.filter("ord_1 <> ord_2").select("label", F.least("ord_1", "ord_2").alias("a"), F.greatest("ord_1", "ord_2").alias("b"))
+
+
+def _candidates(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """(label, a, b) of the pairs of large labels that may be one event, each once.
+
+    - Similar titles have a common bigram among each one's rarest of the label (a prefix, with bounds by size and position).
+    - A quoted name is in both, or all its bigrams, its rarest among them, are in the other title.
+    - Related terms have three characters in common, or one has two characters that the other holds. Terms that overlap the
+      label don't count there.
+    """
+    m = materialize(rows.select("ord", F.explode("labels").alias("label"), "_grams", "_terms", "_quoted").join(large, "label"), "in-large", wide=True)
+    t = V.SIMILAR_TITLES
+    grams = m.select("label", F.explode("_grams").alias("token"), "ord", F.size("_grams").alias("n"))
+    counts = materialize(grams.groupBy("label", "token").agg(F.count(F.lit(1)).alias("k")), "grams", wide=True)
+    ordered = grams.join(counts.filter("k > 1"), ["label", "token"]).groupBy("label", "ord", "n").agg(F.array_sort(F.collect_list(F.struct("k", "token"))).alias("x"))
+    # bigrams of one title only come first in its order
+    alone = F.col("n") - F.size("x")
+    prefix = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1 - alone).cast("int")
+    front = ordered.select("label", "ord", "n", alone.alias("alone"), F.posexplode(F.slice("x", F.lit(1), prefix)).alias("p", "x"))
+    front = materialize(front.select("label", F.col("x.token").alias("token"), "ord", "n", (F.col("alone") + F.col("p") + 1).alias("pos")), "front", wide=True)
+    fits = (F.least("n_1", "n_2") >= t * F.greatest("n_1", "n_2") - 1e-9) & (1 + F.least(F.col("n_1") - F.col("pos_1"), F.col("n_2") - F.col("pos_2")) >= (F.col("n_1") + F.col("n_2")) * t / (1 + t) - 1e-9) & (F.col("ord_1") < F.col("ord_2"))
+    found = _meeting(front, front, fits)
+
+    names = m.select("label", F.explode("_quoted").alias("token"), "ord")
+    found = found.unionByName(_meeting(names, names, F.col("ord_1") < F.col("ord_2")))
+    long = names.filter(F.char_length("token") >= V.QUOTED_LEAST).withColumn("name", F.col("token"))
+    rarest = long.select("label", "ord", "name", F.explode(X.bigrams(F.col("name"))).alias("token")).join(counts, ["label", "token"], "left")
+    # a bigram that no title has can't be within one
+    rarest = rarest.groupBy("label", "ord", "name").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), F.col("token").alias("token"))).alias("x")).filter("x.k > 0")
+    found = found.unionByName(_meeting(rarest.select("label", F.col("x.token").alias("token"), "ord"), grams.select("label", "token", "ord")))
+
+    terms = m.select("label", "ord", F.filter("_terms", lambda x: ~(F.col("label").contains(x) | x.contains(F.col("label")))).alias("terms"))
+
+    def parts(n: int) -> DataFrame:
+        cut = F.flatten(F.transform(F.filter("terms", lambda x: F.char_length(x) >= n), lambda x: F.transform(F.sequence(F.lit(1), F.char_length(x) - n + 1), lambda i: F.substring(x, i, F.lit(n)))))
+        return terms.select("label", F.explode(F.array_distinct(cut)).alias("token"), "ord")
+
+    found = found.unionByName(_meeting(parts(3), parts(3), F.col("ord_1") < F.col("ord_2")))
+    short = terms.select("label", F.explode(F.filter("terms", lambda x: F.char_length(x) == 2)).alias("token"), "ord")
+    return materialize(found.unionByName(_meeting(short, parts(2))).distinct(), "candidates", wide=True)
+
+
 def clusters(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """items with cluster: the smallest ord that same-event pairs lead to."""
     labels = components(pairs).withColumnRenamed("node", "ord")
@@ -138,7 +207,7 @@ def resolve(members: DataFrame) -> DataFrame:
 def collapse(items: DataFrame, nfkc=X.nfkc, normalize=X.normalize) -> DataFrame:
     """Clusters and their values. items as for signals and resolve; labels come from matches."""
     labelled = materialize(items.withColumn("labels", F.array_distinct(F.filter(F.transform("matches", lambda m: m.label), lambda x: F.coalesce(x, F.lit("")) != ""))), "items", wide=True)
-    return resolve(clusters(labelled, same_event_pairs(materialize(signals(labelled, nfkc, normalize), "signals", wide=True))))
+    return resolve(clusters(labelled, same_event_pairs(signals(labelled, nfkc, normalize))))
 
 
 def earliest(df: DataFrame, key: str, start: str) -> DataFrame:

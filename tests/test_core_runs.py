@@ -1,6 +1,7 @@
 """Runs over several steps: ingest with state, confirmation, clusters, merges, digests, sources, streams."""
 
 import json
+import random
 from datetime import date
 
 import pytest
@@ -91,6 +92,24 @@ def test_collapse(spark):
     assert [s.url for s in got[0].sources] == ["u1", "u0", "u3"] and not got[0].unverifiable and got[0].status == "new"
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_large_labels_give_the_same_pairs(spark, seed):
+    rng = random.Random(seed)
+    words = ["港町博物館", "灯台企画", "星空", "展示", "大展示会", "開催", "音楽祭典", "特別", "oak", "Lighthouse", "house", "コンサート", "海", "上映会", "限定グッズ"]
+    rows = []
+    for i in range(150):
+        title = " ".join(rng.choice(words) for _ in range(rng.randrange(6)))
+        if rng.random() < 0.3:
+            title += f"「{rng.choice(words)}{rng.choice(words)}」"
+        day = date(2026, 10, 1 + rng.randrange(30)) if rng.random() < 0.6 else None
+        labels = [x for x in ("星の海", "灯台企画", "他作品") if rng.random() < 0.5]
+        rows.append((i, title, "", labels, rng.sample(["goods", "concert"], rng.randrange(3)), day, None, rng.choice(["2026年10月", ""])))
+    df = spark.createDataFrame(rows, "ord long, title string, summary string, labels array<string>, categories array<string>, start date, end date, date_hint string")
+    signalled = C.signals(df)
+    want = sorted(map(tuple, C.same_event_pairs(signalled, 10**9).collect()))
+    assert want and sorted(map(tuple, C.same_event_pairs(signalled, 0).collect())) == want and sorted(map(tuple, C.same_event_pairs(signalled, 75).collect())) == want
+
+
 def test_merge_and_news(spark):
     d = date(2026, 11, 6)
     rows = [
