@@ -132,7 +132,7 @@ class Codec:
         self.normalizer, self.tok, self.most = normalizer(self.model), build(self.model), most
         self.memo: dict[str, bytes] = {}
         self.wrong = 0  # how many texts the SentencePiece library has encoded otherwise
-        self.peer = None
+        self.peer, self.texts = None, None
         long = [p for p, _, kind in self.model.pieces if kind in (NORMAL, USER) and len(p) > 1]
         # a piece with a marker after another character could reach across words
         self.cuts = not any(MARK in p.lstrip(MARK) for p in long) and not any(kind == USER for _, _, kind in self.model.pieces)
@@ -181,8 +181,25 @@ class Codec:
             return [b"".join([memo[p] if p in memo else extra[p] for p in ps]) for ps in cut]
         return [b"".join(map(memo.__getitem__, ps)) for ps in cut]
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tok.decode_batch(ids, skip_special_tokens=False)
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """The library's decoding. Its decoders take tokens one by one, so that each piece's text is asked for once; only bytes
+        that are no character of their own depend on their neighbours, and texts with such are decoded whole."""
+        if self.texts is None:
+            first = next(i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == NORMAL and MARK not in p and " " not in p)
+            lead = len(self.tok.decode([first], skip_special_tokens=False))
+            pairs = [[first, i] for i in range(len(self.model.pieces))]
+            self.texts = np.array([x[lead:] for x in self.tok.decode_batch(pairs, skip_special_tokens=False)], dtype=object)
+            self.bytes = np.array([kind == BYTE and not x.isascii() for (*_, kind), x in zip(self.model.pieces, self.texts, strict=True)], dtype=bool)
+        out = []
+        for x in map(np.asarray, ids):
+            if not len(x):
+                out.append("")
+            elif self.bytes[x].any():
+                out.append(self.tok.decode(x.tolist(), skip_special_tokens=False))
+            else:
+                text = "".join(self.texts[x].tolist())
+                out.append(text[1:] if self.model.dummy_prefix and text.startswith(" ") else text)
+        return out
 
 
 def codec_of(path: str, threads: int) -> Codec:
@@ -209,7 +226,7 @@ def encode(docs: DataFrame, model: str, threads: int = 2) -> DataFrame:
                 texts = part.column("text").to_pylist()
                 data, agree = codec.encode(texts)
                 arrays = [np.frombuffer(d, dtype="<u4") for d in data]
-                decoded = codec.decode([a.tolist() for a in arrays])
+                decoded = codec.decode(arrays)
                 flat = np.concatenate(arrays).astype(np.int32) if arrays else np.zeros(0, dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat))
                 whole = [codec.normalize(t or "").removeprefix(MARK if codec.model.dummy_prefix else "").replace(MARK, " ") for t in texts]
