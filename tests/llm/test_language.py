@@ -1,7 +1,10 @@
 import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from eventloom.llm import language as L
 from eventloom.llm.common import read
@@ -56,3 +59,30 @@ def test_stage_drops_what_no_learned_language_has(spark):
     docs = spark.createDataFrame([(i, t, None if i >= 100 else c) for i, t, c in rows], "doc_id long, text string, lang string")
     got = {r.doc_id for r in L.keep_known(docs).collect()}
     assert got == {*range(40), 101, 103}
+
+
+def test_scores_equal_plain_counts(spark):
+    """The model's score of a word is the sum of its n-grams' log shares, a third of each, for languages of its script."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("aba abba", "x"), ("aba cab", "x"), ("bcb ccb", "y"), ("bcb bab", "y"), ("жук жук", "z"), ("жар жук", "z")] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("doc_id", F.expr("element_at(filter(sequence(doc_id * 100, doc_id * 100 + 99), d -> crc32(cast(d AS string)) % 4 <> 2), 1)"))
+    model = L.train(df)
+
+    def grams(word):
+        w = f"\n{word}\n"
+        out = [w[i : i + 1] for i in range(1, len(w) - 1)] + [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
+        return out + [w[i : i + 4] for i in range(len(w) - 3) if len(w) >= 4]
+
+    counts = {lang: Counter() for lang in "xyz"}
+    for _, text, lang in rows:
+        for word in text.split():
+            counts[lang].update(grams(word))
+    known = set().union(*({g for g, n in c.items() if n > 1} for c in counts.values()))
+    words = ["aba", "bcb", "cab", "abba", "жук", "жар"]
+    _, _, got = model.score(words)
+    for word, scores in zip(words, got):
+        want = []
+        for lang in "xyz":
+            total = sum(n for n in counts[lang].values() if n > 1)
+            s = sum(math.log((counts[lang][g] * (counts[lang][g] > 1) + 0.1) / (total + 0.1 * len(known))) / 3 for g in grams(word) if g in known)
+            want.append(s - 60 * ((lang == "z") != (word[0] > "z")))
+        assert np.allclose(scores, np.array(want) - max(want), atol=1e-3), word

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -64,3 +65,48 @@ def test_verdicts_on_the_table(spark):
     good = [r.kept for r in got if labels.get(r.doc_id) == 1]
     bad = [r.kept for r in got if labels.get(r.doc_id) == 0]
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.5 * len(bad)
+
+
+def _plain_gain(x, bad, k, limit, above):
+    """FOIL's gain of one more test, counted row by row."""
+    p0, n0 = sum(map(bool, bad)), sum(not b for b in bad)
+    hit = [b for v, b in zip(x[:, k], bad) if (v >= limit if above else v < limit)]
+    p = sum(map(bool, hit))
+    return p * (math.log2(p / len(hit)) - math.log2(p0 / (p0 + n0))) if p else 0.0
+
+
+def test_each_test_grown_has_the_largest_gain():
+    rng = np.random.default_rng(3)
+    for _ in range(8):
+        x = rng.integers(0, 6, (60, len(Q.FEATURES))).astype(float)
+        bad = (x[:, 1] >= 3) & (x[:, 4] < 2) | (rng.random(60) < 0.1)
+        inside = np.ones(60, dtype=bool)
+        for t in Q._grow(x, bad):
+            every = [_plain_gain(x[inside], bad[inside], k, v, above) for k in range(x.shape[1]) for v in set(x[inside, k]) for above in (True, False)]
+            assert abs(_plain_gain(x[inside], bad[inside], t.feature, t.limit, t.above) - max(every)) < 1e-9
+            inside &= t.on(x)
+
+
+def test_pruning_keeps_the_best_prefix():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        x, bad = rng.integers(0, 5, (40, len(Q.FEATURES))).astype(float), rng.random(40) < 0.5
+        rule = [Q.Test(int(rng.integers(len(Q.FEATURES))), bool(rng.integers(2)), float(rng.integers(5))) for _ in range(4)]
+        worth = []
+        for n in range(1, 5):
+            hit = [b for row, b in zip(x, bad) if all((row[t.feature] >= t.limit) == t.above for t in rule[:n])]
+            worth.append((2 * sum(map(bool, hit)) - len(hit)) / max(1, len(hit)))
+        assert Q._prune(rule, x, bad) == rule[: worth.index(max(worth)) + 1]
+
+
+def test_rules_are_ordered_by_what_was_left(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (600, len(Q.FEATURES))).astype(float)
+    bad = (x[:, 2] >= 7) | ((x[:, 5] < 2) & (x[:, 2] < 7))
+    rules = Q.learn(x, bad)
+    assert len(rules) >= 2
+    left = np.ones(len(x), dtype=bool)
+    for rule in rules:
+        hit = Q.covers(rule, x) & left
+        assert hit.sum() >= 8 and bad[hit].mean() >= 0.9
+        left &= ~hit
