@@ -152,3 +152,32 @@ def test_query_on_whole_table(spark):
         text = ",".join(f"{k}:{a}:{b}" for a, b, k in want)
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and r.n_card == sum(k == "card" for *_, k in want)
         assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
+
+
+def test_ordinary_words_after_a_context_count_against_it(spark):
+    seeded = [f"and then the u{i}@m.example end" for i in range(40)]
+    handles = [f"and then the H-{i}234 end" for i in range(6)]
+    assert all(_found(spark, seeded + handles)[40 + i] == ["ctx"] for i in range(6))
+    anything = [f"and then the {a}{b}q end" for a in "abcdefgh" for b in "klmnopqrs"]
+    got = _found(spark, seeded + handles + anything)
+    assert all(got[i] == ["email"] for i in range(40)) and not any(got[i] for i in range(40, len(got)))
+
+
+def test_weights_against_contexts_equal_a_plain_count(spark):
+    rng = random.Random(4)
+    vocab = ["the", "The", "of,", "a", "b2", "x1y2", "--", "ñandú", "12", "me@x.yz", "w" * 78, "v" * 90, "…", "end.", "Q"]
+    texts = ["", None, "one", *(" ".join(rng.choice(vocab) for _ in range(rng.randrange(60))) for _ in range(80))]
+    want, patterns = {}, set()
+    for t in texts:
+        for m in re.finditer(r"\S+", t or ""):
+            p, w = P._pattern(t, m.start()), m.group().lower()
+            if p:
+                patterns.add(p)
+                if "@" not in w and re.search(r"[^\W\d_]", w) and not re.search(r"\d", w):
+                    counts = want.setdefault(p, {})
+                    counts[P._plain(w) or w] = counts.get(P._plain(w) or w, 0) + 1
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.pattern: r.against for r in P.against(docs, spark.createDataFrame([(p,) for p in patterns], "pattern string")).collect()}
+    assert got.keys() == want.keys() and len(got) > 50
+    assert all(abs(got[p] - sum(map(math.log1p, want[p].values()))) < 1e-9 for p in want)
+    assert P.against(docs, spark.createDataFrame([], "pattern string")).count() == 0
