@@ -3,8 +3,8 @@
 Base entities (e-mail and IP addresses, card and phone numbers) are found in every whole text. They are the seeds: the two
 words before a mention are its lexical pattern, mentions of seeds and of other identifier-like words form a graph of
 patterns and instances, and Spark scores both sides in turn: a pattern by the mean score of its mentions' instances, an
-instance by that of its patterns, seeds being certain. Ordinary words that follow a pattern are instances of score 0, so
-that a context which stands before anything is no evidence. Patterns that end with a high score on enough different seeds, or
+instance by that of its patterns, seeds being certain. A pattern's score is lowered by the share of ordinary words among
+what follows it, so that a context which stands before anything is no evidence. Patterns that end with a high score on enough different seeds, or
 instances found in earlier rounds, then discover identifiers that no base rule knows (kind ``ctx``). Base spans always stay.
 
 Nulls and edge cases: null text is empty; rows stay apart even if repeated; ties in scores don't matter, as all patterns
@@ -148,8 +148,8 @@ def scan(docs: DataFrame, at: str | None = None) -> DataFrame:
 
 
 class _Words(dict):
-    """Number of each lower-case word, with what is counted of it: CRC of its form in patterns (0: empty), CRC of it as a
-    follower (0: it isn't an ordinary word, having a digit, an @ or no letter), length."""
+    """Number of each lower-case word, with what is needed of it: CRC of its form in patterns (0: empty), whether it is an
+    ordinary word (it has a letter, no digit and no @), length."""
 
     MOST = 200_000
 
@@ -157,85 +157,95 @@ class _Words(dict):
         self.facts = np.zeros((1 << 12, 3), np.int64)
 
     def __missing__(self, word: str) -> int:
-        n, form = len(self), _plain(word)
+        n = len(self)
         ordinary = "@" not in word and any(map(str.isalpha, word)) and not any(map(str.isdigit, word))
         if n == len(self.facts):
             self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-        self.facts[n] = zlib.crc32(form.encode()), zlib.crc32((form or word).encode()) if ordinary else 0, len(word)
+        self.facts[n] = zlib.crc32(_plain(word).encode()), ordinary, len(word)
         self[word] = n
         return n
 
 
-def followers(text: str, words: _Words) -> tuple[np.ndarray, np.ndarray]:
-    """Pattern key and follower of each ordinary word that has a pattern before it. As in ``_pattern`` both words lie within
-    ``CONTEXT`` characters, each gap being one."""
+def followed(text: str, words: _Words) -> np.ndarray:
+    """The key of the pattern before each ordinary word that has one. As in ``_pattern`` its words lie within ``CONTEXT``
+    characters, each gap being one."""
     tokens = text.lower().split()
     at = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-    form, follower, size = words.facts[at].T
+    form, ordinary, size = words.facts[at].T
     last, far = form[:-1], size[:-1] + 1
     first = np.concatenate([[0], form[:-2]])[: len(last)]
     reach = far + np.concatenate([[0], size[:-2] + 1])[: len(last)]
     first, last = np.where(reach > CONTEXT, 0, first), np.where(far > CONTEXT, 0, last)
     first, last = np.where(last == 0, 0, first), np.where(last == 0, first, last)
-    keep = (follower[1:] != 0) & (last != 0)
-    return (first << 32 | last)[keep], follower[1:][keep]
+    return (first << 32 | last)[(ordinary[1:] != 0) & (last != 0)]
 
 
 #: Cells of the map that says which patterns are counted: 2 MiB however many there are. Where it is full, more is sent on.
 _CELLS = 1 << 24
+#: Counts that a task gathers before it sends them on.
+_GATHERED = 200_000
 
 
-def against(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, against): the weight of the different ordinary words that follow each pattern in the whole texts of docs
-    (text). Patterns are told apart by the CRCs of their words."""
+def ordinary_uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, ordinary): how often an ordinary word follows each pattern in the whole texts of docs (text), where it ever
+    does. Tasks send sums only. Patterns are told apart by the CRCs of their words."""
     parts = F.split("pattern", " ")
     last, first = F.crc32(F.element_at(parts, -1)), F.when(F.size(parts) > 1, F.crc32(F.element_at(parts, 1))).otherwise(0).cast("long")
     keyed = materialize(patterns.select("pattern", F.shiftleft(first, 32).bitwiseOR(last).alias("key"), (first * 31 + last).bitwiseAND(_CELLS - 1).alias("cell")), "counted")
     maps = keyed.groupBy(F.shiftright("cell", 15).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.col("cell").bitwiseAND(32767)).alias("bits")).collect()
     if not maps:
-        return patterns.select("pattern", F.lit(0.0).alias("against")).limit(0)
+        return patterns.select("pattern", F.lit(0).cast("long").alias("ordinary")).limit(0)
     cells = np.zeros((_CELLS >> 15, 4096), np.uint8)
     for r in maps:
         cells[r.bucket] = np.frombuffer(r.bits, np.uint8)
     wanted = docs.sparkSession.sparkContext.broadcast(cells.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, words = np.frombuffer(wanted.value, np.uint8), _Words()
+        bits, words, sums = np.frombuffer(wanted.value, np.uint8), _Words(), {}
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (sums.keys(), sums.values())], names=["key", "n"])
+
         for batch in batches:
-            keys, found = [], []
+            hits = [np.zeros(0, np.int64)]
             for text in batch.column("text").to_pylist():
                 if len(words) > _Words.MOST:
                     words = _Words()
-                key, follower = followers(text or "", words)
+                key = followed(text or "", words)
                 cell = ((key >> 32 & 0xFFFFFFFF) * 31 + (key & 0xFFFFFFFF)) & (_CELLS - 1)
-                hit = (bits[cell >> 3] >> (cell & 7) & 1).astype(bool)
-                keys.append(key[hit])
-                found.append(follower[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, found)], names=["key", "follower"])
+                hits.append(key[(bits[cell >> 3] >> (cell & 7) & 1) != 0])
+            for key, n in zip(*(x.tolist() for x in np.unique(np.concatenate(hits), return_counts=True)), strict=True):
+                sums[key] = sums.get(key, 0) + n
+            if len(sums) > _GATHERED:
+                yield sent()
+                sums = {}
+        yield sent()
 
     small_batches(docs.sparkSession)
-    counts = docs.select("text").mapInArrow(run, "key long, follower long").groupBy("key", "follower").agg(F.count(F.lit(1)).alias("n"))
-    return keyed.join(counts, "key").groupBy("pattern").agg(F.sum(F.log1p("n")).alias("against"))
+    counts = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("ordinary"))
+    return keyed.join(counts, "key").select("pattern", "ordinary")
 
 
 def good_patterns(scanned: DataFrame, rounds: int = 3, seeds: int = 5, least: float = 0.6, docs: DataFrame | None = None) -> DataFrame:
     """The patterns (pattern, score) that end with at least this score and this many different supports: seeds, and
-    instances that a pattern accepted in the round before has found. With docs (text), the ordinary words after those
-    patterns that have instances enough to be accepted count against them."""
+    instances that a pattern accepted in the round before has found. With docs (text), the score of a pattern that has
+    instances enough to be accepted is multiplied by the share of mentions among its uses, ordinary words being the others."""
     m = scanned.select(F.explode("mentions").alias("m")).select("m.pattern", "m.instance", "m.seed")
     edges = m.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
     edges = materialize(edges, "edges")
     # the whole graph is scored: an instance's other patterns speak for or against it, accepted or not
     instances = materialize(edges.groupBy("instance").agg(F.max("seed").alias("known")).select("instance", F.col("known").cast("double").alias("score"), "known"), "instances")
     patterns = None
+    shares = None
     if docs is not None:
-        enough = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances")).filter(F.col("instances") >= seeds)
-        weights = materialize(against(docs, enough.select("pattern")), "against")
+        uses = materialize(edges.groupBy("pattern").agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("instances")).filter(F.col("instances") >= seeds), "uses")
+        shares = ordinary_uses(docs, uses.select("pattern")).join(uses, "pattern")
+        shares = materialize(shares.select("pattern", (F.col("mentions") / (F.col("mentions") + F.col("ordinary"))).alias("share")), "shares")
     for k in range(rounds):
-        scored = edges.join(instances, "instance").groupBy("pattern").agg(F.sum(F.col("score") * F.log1p("n")).alias("sum"), F.sum(F.log1p("n")).alias("weight"), F.count_if("known").alias("supports"))
-        if docs is not None:
-            scored = scored.join(weights, "pattern", "left").withColumn("weight", F.col("weight") + F.coalesce("against", F.lit(0.0)))
-        scored = scored.withColumn("score", F.col("sum") / (F.col("weight") + 0.5))
+        score = F.sum(F.col("score") * F.log1p("n")) / (F.sum(F.log1p("n")) + 0.5)
+        scored = edges.join(instances, "instance").groupBy("pattern").agg(score.alias("score"), F.count_if("known").alias("supports"))
+        if shares is not None:
+            scored = scored.join(shares, "pattern", "left").withColumn("score", F.col("score") * F.coalesce("share", F.lit(1.0)))
         patterns = materialize(scored.select("pattern", "score", ((F.col("score") >= least) & (F.col("supports") >= seeds)).alias("good")), "patterns")
         if k < rounds - 1:
             means = edges.join(patterns, "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), F.max("good").alias("found"), (F.sum(F.col("score") * F.log1p("n")) / F.sum(F.log1p("n"))).alias("mean"))

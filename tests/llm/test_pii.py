@@ -163,7 +163,7 @@ def test_ordinary_words_after_a_context_count_against_it(spark):
     assert all(got[i] == ["email"] for i in range(40)) and not any(got[i] for i in range(40, len(got)))
 
 
-def test_weights_against_contexts_equal_a_plain_count(spark):
+def test_ordinary_uses_equal_a_plain_count(spark, monkeypatch):
     rng = random.Random(4)
     vocab = ["the", "The", "of,", "a", "b2", "x1y2", "--", "ñandú", "12", "me@x.yz", "w" * 78, "v" * 90, "…", "end.", "Q"]
     texts = ["", None, "one", *(" ".join(rng.choice(vocab) for _ in range(rng.randrange(60))) for _ in range(80))]
@@ -174,10 +174,11 @@ def test_weights_against_contexts_equal_a_plain_count(spark):
             if p:
                 patterns.add(p)
                 if "@" not in w and re.search(r"[^\W\d_]", w) and not re.search(r"\d", w):
-                    counts = want.setdefault(p, {})
-                    counts[P._plain(w) or w] = counts.get(P._plain(w) or w, 0) + 1
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    got = {r.pattern: r.against for r in P.against(docs, spark.createDataFrame([(p,) for p in patterns], "pattern string")).collect()}
-    assert got.keys() == want.keys() and len(got) > 50
-    assert all(abs(got[p] - sum(map(math.log1p, want[p].values()))) < 1e-9 for p in want)
-    assert P.against(docs, spark.createDataFrame([], "pattern string")).count() == 0
+                    want[p] = want.get(p, 0) + 1
+    docs, some = spark.createDataFrame([(t,) for t in texts], "text string"), sorted(patterns)[::2]
+    for most in (P._GATHERED, 3):
+        monkeypatch.setattr(P, "_GATHERED", most)
+        for asked in (patterns, some):
+            got = {r.pattern: r.ordinary for r in P.ordinary_uses(docs, spark.createDataFrame([(p,) for p in asked], "pattern string")).collect()}
+            assert got == {p: n for p, n in want.items() if p in asked} and len(got) > 20
+    assert P.ordinary_uses(docs, spark.createDataFrame([], "pattern string")).count() == 0
