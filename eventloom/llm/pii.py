@@ -40,7 +40,7 @@ _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NUMBERED = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+")
 _EDGE = ".,;:!?()[]{}\"'<>"
-_ODD = re.compile(r"[^a-z0]+")
+_ODD = re.compile(r"[\W_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -94,7 +94,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _pattern(text: str, start: int) -> str:
-    """The two words before a mention: lower case, digits as 0, other characters gone. A word that doesn't lie whole within
+    """The two words before a mention: lower case, digits as 0, letters of any script, other characters gone. A word that doesn't lie whole within
     the ``CONTEXT`` characters before the mention doesn't count."""
     at = max(0, start - CONTEXT)
     words = text[at:start].lower().split()

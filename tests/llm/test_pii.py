@@ -49,7 +49,7 @@ def test_redaction_leaves_no_base_span():
 
 def test_context_is_whole_words_only():
     assert P._pattern("x" * 90 + " call me: ", 100) == "call me" and P._pattern("x" * 90 + "call me ", 98) == "me" and P._pattern("a" * 500, 500) == ""
-    assert P._pattern("nr.12 ", 6) == "nr00" and P._pattern("", 0) == ""
+    assert P._pattern("Позвони_мне: по 電話、 ", 21) == "по 電話" and P._pattern("nr.12 ", 6) == "nr00" and P._pattern("", 0) == ""
     spans = P.base_spans("AB-123456,1.2.3.4 1.2.3.4-AB12345 ZZ-123456")
     assert [x[:2] for x in P.mentions("one two AB-12345", []) if not x[4]] == [(8, 16)]
     assert [("AB-123456,1.2.3.4 1.2.3.4-AB12345 ZZ-123456")[a:b] for a, b, *_, seed in P.mentions("AB-123456,1.2.3.4 1.2.3.4-AB12345 ZZ-123456", spans) if not seed] == ["ZZ-123456"]
@@ -163,6 +163,12 @@ def test_ordinary_words_after_a_context_count_against_it(spark):
     assert all(got[i] == ["email"] for i in range(40)) and not any(got[i] for i in range(40, len(got)))
 
 
+def test_contexts_of_any_script(spark):
+    seeded = [f"напишите мне на u{i}@m.example скорее" for i in range(20)]
+    got = _found(spark, [*seeded, "напишите мне на H-1234 скорее", "и вот на H-9234 скорее"])
+    assert got[20] == ["ctx"] and got[21] == []
+
+
 def test_ordinary_uses_equal_a_plain_count(spark, monkeypatch):
     rng = random.Random(4)
     vocab = ["the", "The", "of,", "a", "b2", "x1y2", "--", "ñandú", "12", "me@x.yz", "w" * 78, "v" * 90, "…", "end.", "Q"]
